@@ -29,26 +29,30 @@ def column_range(df: DataFrame, first: str, last: str) -> list[str]:
     return df.columns[i : j + 1]
 
 
-def lookup(key: Column, mapping: Mapping) -> Column:
-    """Constant mapping as a CASE expression; NULL for an unlisted key."""
-    items = iter(mapping.items())
-    k, v = next(items)
-    out = F.when(key == F.lit(k), F.lit(v))
-    for k, v in items:
-        out = out.when(key == F.lit(k), F.lit(v))
-    return out
-
-
-def position(key: Column, order: Sequence) -> Column:
-    """1-based place of ``key`` in ``order``; NULL when it is not listed."""
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def lookup(key: str, mapping: Mapping) -> Column:
+    """Constant mapping of column ``key`` as a CASE expression; NULL for an
+    unlisted key."""
+    cases = " ".join(f"WHEN {_literal(k)} THEN {_literal(v)}" for k, v in mapping.items())
+    return F.expr(f"CASE `{key}` {cases} END")
+
+
+def position(key: str, order: Sequence) -> Column:
+    """1-based place of column ``key`` in ``order``; NULL when not listed."""
     return lookup(key, {v: i for i, v in enumerate(order, 1)})
 
 
 def literal_table(spark, schema: str, rows: Sequence[Sequence]) -> DataFrame:
-    """Small constant table, planned as literals (no Python data source)."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    types = [part.strip().split(" ")[1] for part in schema.split(",")]
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types)]) for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """Small constant table, planned as an in-memory relation of known size."""
+    fields = [part.split() for part in schema.split(",")]
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(name for name, _ in fields)
+    typed = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")

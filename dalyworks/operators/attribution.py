@@ -219,7 +219,7 @@ def estimates(combined: DataFrame) -> DataFrame:
     ids_by_label = {label: i for i, label in codes.ESTIMATES.items()}
     return long.withColumns(
         {
-            "estimate_id": lookup(F.col("estimate"), ids_by_label),
+            "estimate_id": lookup("estimate", ids_by_label),
             "rate_per_100k": ratio("number", "population_100k"),
             "percent": ratio("number", "measure_total") * 100.0,
         }

@@ -44,7 +44,7 @@ def _metric_rows(
 
 
 def _labelled(df: DataFrame) -> DataFrame:
-    return df.withColumn("estimate_label", lookup(F.col("estimate_id"), codes.ESTIMATE_LABELS))
+    return df.withColumn("estimate_label", lookup("estimate_id", codes.ESTIMATE_LABELS))
 
 
 def _points(df: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def _bars(rolled, scheme, metrics, order, slices, scale=None) -> DataFrame:
     return _labelled(
         long.withColumns(
             {
-                "region_rank": position(F.col("region"), order or codes.REGION_ORDER[scheme]),
+                "region_rank": position("region", order or codes.REGION_ORDER[scheme]),
                 "label": F.bround("value", 1),
             }
         )
@@ -142,8 +142,10 @@ def binned_rates(
     )
     largest = rates.groupBy(*slices).agg(F.max("rate").alias("largest"))
     breaks = F.array_sort(F.array(*[F.lit(float(b)) for b in fixed], F.col("largest")))
+    texts = F.array(*[F.lit(f"{b:g}") for b in fixed])
+    edges = F.array(*[F.lit(float(b)) for b in fixed])
     labels = F.transform(
-        F.col("breaks"), lambda b: F.coalesce(lookup(b, {float(x): f"{x:g}" for x in fixed}), F.col("top_label"))
+        F.col("breaks"), lambda b: F.coalesce(F.get(texts, F.array_position(edges, b).cast("int") - 1), "top_label")
     )
     binned = (
         rates.join(largest, list(slices))

@@ -34,7 +34,7 @@ def inputs_stack(inputs: DataFrame, order: Sequence[str] = codes.REGION_ORDER["i
     """
     per_input = Window.partitionBy("input")
     stacked = per_input.orderBy(F.col("region_rank").asc_nulls_last(), "ihme_region")
-    ranked = inputs_long(inputs).withColumn("region_rank", position(F.col("ihme_region"), order))
+    ranked = inputs_long(inputs).withColumn("region_rank", position("ihme_region", order))
     end = F.sum("count").over(stacked)
     return ranked.withColumns(
         {"stack_start": end - F.col("count"), "stack_end": end, "input_total": F.sum("count").over(per_input)}

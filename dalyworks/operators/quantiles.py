@@ -8,72 +8,77 @@ wanted rank are ordered. The sketch decides the amount of work, not the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, float],
+    moments: Mapping[str, Column] | None = None,
+    accuracy: int = 10_000,
 ) -> DataFrame:
-    """(keys, prob, quantile) with linear interpolation between ranks.
+    """One row per group with the named quantiles, interpolated between ranks.
 
-    ``df`` is read three times; stage it first when it is expensive. NULL values
-    are ignored.
+    ``moments`` are further aggregates of ``value``, computed in the same pass as
+    the sketch. NULL values are ignored. The input is read three times (sketch,
+    segment counts, the few rows around each quantile); stages under it that
+    shuffle are reused.
     """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).alias("__x")).filter(F.col("__x").isNotNull())
+    keys, moments = list(keys), dict(moments or {})
+    data = df.select(*keys, value).filter(F.col(value).isNotNull())
     slack = 2.0 / accuracy
-    cuts = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)})
+    cuts = sorted({min(max(p + s, 0.0), 1.0) for p in quantiles.values() for s in (-slack, slack)})
     sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("__x", cuts, accuracy).alias("__cuts"), F.count(F.lit(1)).alias("__n")
+        F.percentile_approx(value, cuts, accuracy).alias("__cuts"),
+        F.count(F.lit(1)).alias("__n"),
+        *[m.alias(name) for name, m in moments.items()],
     )
-    segment = sum(((F.col("__x") > F.get("__cuts", F.lit(i))).cast("int") for i in range(len(cuts))), F.lit(0))
-    placed = null_safe_join(data, sketch, keys).withColumn("__segment", segment)
+    steps = " + ".join(f"CAST(`{value}` > __cuts[{i}] AS INT)" for i in range(len(cuts)))
+    placed = null_safe_join(data, sketch, keys).withColumn("__segment", F.expr(steps))
 
+    # At most one row per segment of a group, so these partitions are tiny.
     before = Window.partitionBy(*keys).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
-        placed.groupBy(*keys, "__segment")
-        .agg(F.count(F.lit(1)).alias("__size"), F.first("__n").alias("__n"))
+        placed.groupBy(*keys, "__n", *moments, "__segment")
+        .agg(F.count(F.lit(1)).alias("__size"))
         .withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
     )
-    wanted = []
-    for p in probs:
-        rank = (F.col("__n") - 1) * F.lit(float(p))
-        for end, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            wanted.append(F.struct(F.lit(float(p)).alias("prob"), F.lit(end).alias("end"), at.alias("rank"),
-                                   (rank - F.floor(rank)).alias("weight")))
+    ranks = ", ".join(
+        f"named_struct('name', '{name}', 'rank', {end}((__n - 1) * {p!r}D), 'share', {share})"
+        for name, p in quantiles.items()
+        for end, share in (
+            ("floor", f"1D - ((__n - 1) * {p!r}D - floor((__n - 1) * {p!r}D))"),
+            ("ceil", f"(__n - 1) * {p!r}D - floor((__n - 1) * {p!r}D)"),
+        )
+    )
     targets = (
-        sizes.select(*keys, "__segment", "__size", "__start", F.inline(F.array(*wanted)))
-        .filter((F.col("rank") >= F.col("__start")) & (F.col("rank") < F.col("__start") + F.col("__size")))
+        sizes.withColumn("__want", F.explode(F.expr(f"array({ranks})")))
+        .select(*keys, *moments, "__segment", "__size", "__start", "__want.*")
+        .filter("rank >= __start AND rank < __start + __size")
+    )
+    wanted = targets.groupBy(*keys, *moments, "__segment", "__start").agg(
+        F.collect_list(F.struct("name", "rank", "share")).alias("__wanted")
     )
-    needed = targets.select(*keys, "__segment", "__start").distinct()
-    inside = null_safe_join(placed, needed, [*keys, "__segment"], "inner")
-    running = Window.partitionBy(*keys, "__segment").orderBy("__x")
+    inside = null_safe_join(placed.select(*keys, "__segment", value), wanted, [*keys, "__segment"], "inner")
+    running = Window.partitionBy(*keys, "__segment").orderBy(value)
     ordered = (
-        inside.groupBy(*keys, "__segment", "__start", "__x")
+        inside.groupBy(*keys, "__segment", value)
         .agg(F.count(F.lit(1)).alias("__count"))
-        .withColumn("__last", F.col("__start") + F.sum("__count").over(running))
-    )
-    found = null_safe_join(ordered.drop("__start"), targets.select(*keys, "__segment", "prob", "end", "rank", "weight"),
-                           [*keys, "__segment"], "inner").filter(
-        (F.col("rank") < F.col("__last")) & (F.col("rank") >= F.col("__last") - F.col("__count"))
+        .withColumn("__last", F.sum("__count").over(running))
     )
-    ends = found.groupBy(*keys, "prob").agg(
-        F.max(F.when(F.col("end") == "lo", F.col("__x"))).alias("__lo"),
-        F.max(F.when(F.col("end") == "hi", F.col("__x"))).alias("__hi"),
-        F.max("weight").alias("__weight"),
+    found = (
+        null_safe_join(ordered, wanted, [*keys, "__segment"], "inner")
+        .withColumn("__last", F.col("__start") + F.col("__last"))
+        .select(*keys, *moments, value, "__last", "__count", F.inline("__wanted"))
+        .filter("rank < __last AND rank >= __last - __count")
     )
-    between = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__weight")
-    return ends.select(*keys, "prob", between.alias("quantile"))
-
-
-def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], **kw) -> DataFrame:
-    """One column per quantile, named by ``names``."""
-    long = grouped_quantiles(df, keys, value, list(names.values()), **kw)
-    return long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in names.items()]
+    return found.groupBy(*keys, *moments).agg(
+        *[F.sum(F.when(F.col("name") == n, F.col(value) * F.col("share"))).alias(n) for n in quantiles]
     )

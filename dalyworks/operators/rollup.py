@@ -76,11 +76,10 @@ def income_burden(df: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFr
 
 def income_rank(df: DataFrame) -> DataFrame:
     """Add the rank and full name of the income level."""
-    level = F.col("income_level")
     return df.withColumns(
         {
-            "income_rank": lookup(level, {k: r for k, (r, _) in codes.INCOME_LEVELS.items()}),
-            "income_name": lookup(level, {k: n for k, (_, n) in codes.INCOME_LEVELS.items()}),
+            "income_rank": lookup("income_level", {k: r for k, (r, _) in codes.INCOME_LEVELS.items()}),
+            "income_name": lookup("income_level", {k: n for k, (_, n) in codes.INCOME_LEVELS.items()}),
         }
     )
 
@@ -107,57 +106,61 @@ def income_costs(df: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFra
 SECTIONS = {"world": 1, "income": 2, "region": 3}
 
 
-def level_rollup(df: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
-    """World, income groups and regions in one aggregation.
-
-    Every row is repeated for the levels it belongs to and aggregated once, so
-    the valued table is computed and shuffled a single time. Costs are kept in
-    both meanings: ``<cost>`` as the level defines it.
-    """
-
-    def level(section: str, place: Column, rank: Column, belongs: Column) -> Column:
-        row = F.struct(
-            F.lit(SECTIONS[section]).alias("section"), place.alias("place"), rank.cast("int").alias("place_rank")
-        )
-        return F.when(belongs, row)
-
-    income = F.col("income_level")
+def with_levels(df: DataFrame) -> DataFrame:
+    """Repeat every row for the levels it belongs to: the world, its income
+    group, its region. Adds (section, place, place_rank)."""
     names = {k: n for k, (_, n) in codes.INCOME_LEVELS.items()}
     ranks = {k: r for k, (r, _) in codes.INCOME_LEVELS.items()}
-    world = F.col("location_id") == codes.WORLD_LOCATION
-    levels = F.array_compact(
-        F.array(
-            level("world", F.lit(codes.WORLD_NAME), F.lit(1), world),
-            level("income", lookup(income, names), lookup(income, ranks), income.isNotNull()),
-            level("region", F.col("ihme_region"), F.lit(1), F.col("ihme_region").isNotNull()),
-        )
-    )
-    keys = ["measure_id", "measure_name", "numeric_name", "estimate_id", "estimate", *slices]
-    facts = ["population_100k", "number", "measure_total", "gdp", "gdp_ppp", *codes.COSTS]
-    sums = (
-        shown(df)
-        .select(*keys, *facts, F.inline(levels))
-        .groupBy("section", "place", "place_rank", *keys)
-        .agg(
-            na_sum("population_100k").alias("pop100k"),
-            na_sum("number").alias("number"),
-            na_sum("measure_total").alias("measure_total"),
-            na_rm_sum("gdp").alias("gdp"),
-            na_rm_sum("gdp_ppp").alias("gdp_ppp"),
-            *[na_sum(c).alias(f"own_{c}") for c in codes.COSTS],
-            *[na_rm_sum(c).alias(f"added_{c}") for c in codes.COSTS],
+    levels = {
+        "world": (F.lit(codes.WORLD_NAME), F.lit(1), F.col("location_id") == codes.WORLD_LOCATION),
+        "income": (
+            lookup("income_level", names), lookup("income_level", ranks), F.col("income_level").isNotNull()
+        ),
+        "region": (F.col("ihme_region"), F.lit(1), F.col("ihme_region").isNotNull()),
+    }
+    rows = []
+    for section, (place, rank, belongs) in levels.items():
+        row = F.struct(
+            F.lit(SECTIONS[section]).alias("section"), place.alias("place"), rank.alias("place_rank")
         )
+        rows.append(F.when(belongs, row))
+    return df.select("*", F.inline(F.array_compact(F.array(*rows))))
+
+
+def level_rollup(df: DataFrame, slices: Sequence[str] = codes.SLICES, costs: bool = True) -> DataFrame:
+    """World, income groups and regions in one aggregation.
+
+    The input is computed and shuffled a single time. Each cost has the meaning
+    of its level: the world's own, the sum over an income group's countries, or
+    a region's DALYs at the region's GDP per head.
+    """
+    keys = [
+        "section", "place", "place_rank",
+        "measure_id", "measure_name", "numeric_name", "estimate_id", "estimate", *slices,
+    ]
+    sums = {"number": na_sum("number"), "measure_total": na_sum("measure_total")}
+    if costs:
+        sums["pop100k"] = na_sum("population_100k")
+        for name in ("gdp", "gdp_ppp"):
+            sums[name] = na_rm_sum(name)
+        for cost in codes.COSTS:
+            sums[f"own_{cost}"] = na_sum(cost)
+            sums[f"added_{cost}"] = na_rm_sum(cost)
+    rolled = (
+        with_levels(shown(df)).groupBy(*keys).agg(*[expr.alias(name) for name, expr in sums.items()])
     )
-    rates = pooled_rates(sums)
+    if not costs:
+        percent = ratio("number", "measure_total") * 100.0
+        return rolled.select(*keys, "number", "measure_total", percent.alias("percent"))
+    rates = pooled_rates(rolled)
     regional = cost_columns(F.col("number"), F.col("gdp_per_capita"), F.col("gdp_ppp_per_capita"))
     section = F.col("section")
-    costs = {
-        c: F.when(section == SECTIONS["world"], F.col(f"own_{c}"))
-        .when(section == SECTIONS["income"], F.col(f"added_{c}"))
-        .otherwise(regional[c])
-        for c in codes.COSTS
+    by_level = {
+        cost: F.when(section == SECTIONS["world"], F.col(f"own_{cost}"))
+        .when(section == SECTIONS["income"], F.col(f"added_{cost}"))
+        .otherwise(regional[cost])
+        for cost in codes.COSTS
     }
     return rates.select(
-        "section", "place", "place_rank", *keys, "number", "measure_total", "percent", "gdp",
-        *[e.alias(c) for c, e in costs.items()],
+        *keys, "number", "measure_total", "percent", "gdp", *[e.alias(c) for c, e in by_level.items()]
     )

@@ -49,10 +49,15 @@ def estimates(inputs: Inputs, formula: str = codes.PAF_POPULATION) -> DataFrame:
     return attribution.estimates(combined)
 
 
+def located(inputs: Inputs, formula: str = codes.PAF_POPULATION) -> DataFrame:
+    """Estimates with iso code and income level."""
+    return dimensions.enrich(estimates(inputs, formula), inputs.crosswalk, inputs.income)
+
+
 def valued(inputs: Inputs, formula: str = codes.PAF_POPULATION) -> DataFrame:
-    """Estimates with iso code, income level, GDP and the six costs."""
-    located = dimensions.enrich(estimates(inputs, formula), inputs.crosswalk, inputs.income)
-    return valuation.value(valuation.with_gdp(located, inputs.gdp, inputs.gdp_ppp))
+    """Located estimates with GDP and the six costs."""
+    money = valuation.with_gdp(located(inputs, formula), inputs.gdp, inputs.gdp_ppp)
+    return valuation.value(money)
 
 
 def national_diff(inputs: Inputs) -> DataFrame:
@@ -72,5 +77,11 @@ def region_diff(inputs: Inputs, scheme: str) -> DataFrame:
 
 
 def levels(inputs: Inputs) -> DataFrame:
-    """World, income-group and region results, as the tables report them."""
+    """World, income-group and region results, as the value tables report them."""
     return rollup.level_rollup(regional(inputs))
+
+
+def burden_levels(inputs: Inputs) -> DataFrame:
+    """The same levels without money: no GDP source is read."""
+    regions = dimensions.region_full_join(located(inputs), inputs.region)
+    return rollup.level_rollup(regions, costs=False)

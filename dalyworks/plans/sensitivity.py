@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes
-from ..functions.joins import null_safe_join
 from ..operators.draws import attributable_deaths
-from ..operators.quantiles import quantiles_wide
+from ..operators.quantiles import grouped_quantiles
 
 INTERVAL = {"p025": 0.025, "p500": 0.5, "p975": 0.975}
 
 
 def summarize(df: DataFrame, keys: Sequence[str], value: str = "deaths_mh") -> DataFrame:
     """Count, mean, standard deviation, median and 95% interval per group."""
-    moments = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("draws"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
-    )
-    return null_safe_join(moments, quantiles_wide(df, keys, value, INTERVAL), list(keys))
+    moments = {
+        "draws": F.count(F.lit(1)),
+        "mean": F.avg(value),
+        "sd": F.stddev_samp(value),
+    }
+    return grouped_quantiles(df, keys, value, INTERVAL, moments)
 
 
 def deaths_summary(draws: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

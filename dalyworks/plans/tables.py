@@ -52,8 +52,8 @@ def table2_long(levels: DataFrame, unit: float = TRILLION) -> DataFrame:
     dalys = levels.filter(F.col("measure_id") == codes.DALYS)
     ids = [
         F.col("place").alias("location_name"), "section", "place_rank", "numeric_name", "estimate",
-        position(F.col("numeric_name"), BOUND_ORDER).alias("bound_rank"),
-        position(F.col("estimate"), TABLE_ESTIMATES).alias("estimate_rank"),
+        position("numeric_name", BOUND_ORDER).alias("bound_rank"),
+        position("estimate", TABLE_ESTIMATES).alias("estimate_rank"),
     ]
     rows = [{"name": F.lit(c), "value": F.bround(F.col(c) / unit, 2)} for c in codes.COSTS]
     return inline_rows(dalys, ids, rows)
@@ -76,10 +76,10 @@ def table_appendix(world: DataFrame, unit: float = TRILLION) -> DataFrame:
     ``world`` holds the world's valued rows.
     """
     order = [(e, b) for e in sorted(TABLE_ESTIMATES) for b in BOUND_ORDER]
-    cell = F.concat_ws("|", "estimate", "numeric_name")
     picked = (
         world.filter((F.col("measure_id") == codes.DALYS) & (F.col("estimate_id") != codes.PAF))
-        .withColumn("column", position(cell, [f"{e}|{b}" for e, b in order]))
+        .withColumn("cell", F.concat_ws("|", "estimate", "numeric_name"))
+        .withColumn("column", position("cell", [f"{e}|{b}" for e, b in order]))
     )
     rows = [
         {"row_order": F.lit(1), "field": F.lit("estimate"), "text": F.col("estimate")},

@@ -57,13 +57,26 @@ def _with_world(nation: str, *keep: str):
     return [F.explode(F.array(F.col(nation) + 2, F.lit(codes.WORLD_LOCATION))).alias("location_id"), *keep]
 
 
+# Columns of the source tables that are read; the rest is never touched.
+SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_linestatus string",
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double",
+    "customer": "c_custkey long, c_nationkey int",
+    "part": "p_partkey long, p_type string, p_size int",
+    "supplier": "s_suppkey long, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 @dataclass(frozen=True)
 class OrderTables:
     spark: SparkSession
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def order_places(self) -> DataFrame:
@@ -201,7 +214,7 @@ class OrderTables:
             named.withColumn("copy", F.explode(copies))
             .select(
                 "measure_id",
-                lookup(F.col("measure_id"), codes.MEASURE_NAMES).alias("measure_name"),
+                lookup("measure_id", codes.MEASURE_NAMES).alias("measure_name"),
                 "location_id",
                 "location_name",
                 F.lit(3).alias("sex_id"),
@@ -209,7 +222,7 @@ class OrderTables:
                 F.lit(22).alias("age_id"),
                 F.lit("All ages").alias("age_name"),
                 "cause_id",
-                lookup(F.col("cause_id"), CAUSE_NAMES).alias("cause_name"),
+                lookup("cause_id", CAUSE_NAMES).alias("cause_name"),
                 F.inline(metrics),
             )
         )

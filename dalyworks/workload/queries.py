@@ -11,7 +11,6 @@ from .. import codes
 from ..functions.joins import null_safe_join
 from ..functions.nulls import na_rm_sum, na_sum, ratio
 from ..operators import attribution, charts, compare, dimensions, draws, evidence, rollup, valuation
-from ..operators.quantiles import quantiles_wide
 from ..plans import burden, headlines, sensitivity, tables
 from ..plans.burden import Inputs
 from ..sources import readers
@@ -28,26 +27,29 @@ IHME_ORDER = tuple(f"{r}-{i}" for r in WHO_ORDER for i in (1, 0))
 # Output digits per column: enough to tell results apart, few enough not to
 # depend on the order in which doubles were added.
 DIGITS = {
-    "number": 4, "rate": 6, "rate_per_100k": 6, "percent": 8, "population_100k": 8, "population": 3,
-    "measure_total": 4, "prevalence": 10, "pop100k": 6, "gdp": 2, "gdp_ppp": 2, "gdp_per_capita": 8,
-    "gdp_ppp_per_capita": 8, "original_value": 4, "realloc_value": 4, "paf2": 10, "paf4": 10, "paf": 10,
-    "paf_value": 4, "original_agg": 4, "realloc_agg": 4, "paf2_agg": 4, "paf4_agg": 4, "paf_agg": 4,
-    "composite": 4, "composite_dalys": 4, "value": 6, "clamped": 6, "est": 6, "share": 10, "rate_binned": 8,
-    "regional_percent": 8, **{c: 1 for c in codes.COSTS},
+    "number": 2, "rate": 6, "rate_per_100k": 4, "percent": 6, "population_100k": 8, "population": 3,
+    "measure_total": 2, "prevalence": 10, "pop100k": 6, "gdp": 2, "gdp_ppp": 2, "gdp_per_capita": 6,
+    "gdp_ppp_per_capita": 6, "original_value": 4, "realloc_value": 4, "paf2": 10, "paf4": 10, "paf": 10,
+    "paf_value": 4, "original_agg": 2, "realloc_agg": 2, "paf2_agg": 2, "paf4_agg": 2, "paf_agg": 2,
+    "composite": 2, "composite_dalys": 2, "value": 5, "clamped": 5, "est": 6, "share": 10,
+    "regional_percent": 6, **{c: 0 for c in codes.COSTS},
 }
 
 
 def rounded(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
+    """Round the double columns, in double arithmetic, ties to even."""
     digits = {**DIGITS, **(digits or {})}
     out = []
     for field in df.schema.fields:
         stem = field.name.removesuffix("_diff")
         for scheme in codes.SCHEMES:
             stem = stem.removeprefix(f"{scheme}_")
-        is_double = field.dataType.typeName() == "double"
-        name = F.col(f"`{field.name}`")
-        out.append(F.bround(name, digits[stem]).alias(field.name) if is_double and stem in digits else name)
-    return df.select(*out)
+        if field.dataType.typeName() == "double" and stem in digits:
+            scale = 10.0 ** digits[stem]
+            out.append(f"rint(`{field.name}` * {scale:.1f}D) / {scale:.1f}D + 0D AS `{field.name}`")
+        else:
+            out.append(f"`{field.name}`")
+    return df.selectExpr(*out)
 
 
 class Context:
@@ -370,7 +372,7 @@ def income_costs(c):
 @query
 def cost_long(c):
     long = rollup.cost_long(burden.valued(c.inputs))
-    return rounded(long.select("location_id", "numeric_name", "estimate", "name", "value"), {"value": 1})
+    return rounded(long.select("location_id", "numeric_name", "estimate", "name", "value"), {"value": 0})
 
 
 # ---- charts -------------------------------------------------------------------
@@ -428,7 +430,7 @@ def region_bars_gdp(c):
 def _bins(measure):
     def run(c):
         rolled = rollup.region_rollup(burden.regional(c.inputs), "ihme_region")
-        digits = {"rate": 8, "bin_low": 6, "bin_high": 6}
+        digits = {"rate": 6, "bin_low": 6, "bin_high": 6}
         return rounded(charts.binned_rates(rolled, measure).drop(*codes.SLICES), digits)
 
     return run
@@ -461,17 +463,17 @@ def inputs_stack(c):
 
 @query
 def table1_long(c):
-    return tables.table1_long(burden.levels(c.inputs), NUMBER_UNIT).drop("section", "place_rank")
+    return tables.table1_long(burden.burden_levels(c.inputs), NUMBER_UNIT).drop("section", "place_rank")
 
 
 @query
 def table1(c):
-    return tables.table1(burden.levels(c.inputs), NUMBER_UNIT).drop("section", "place_rank")
+    return tables.table1(burden.burden_levels(c.inputs), NUMBER_UNIT).drop("section", "place_rank")
 
 
 @query
 def table1_indexed(c):
-    wide = tables.table1(burden.levels(c.inputs), NUMBER_UNIT)
+    wide = tables.table1(burden.burden_levels(c.inputs), NUMBER_UNIT)
     return with_row_index(wide, tables.TABLE1_ORDER).drop("section", "place_rank")
 
 
@@ -530,7 +532,7 @@ def mc_ci(c):
 
 @query
 def mc_paf_long(c):
-    long = attribution_rows = draws.attributable_deaths(draws.published_intervals(_ids(c)))
+    long = draws.attributable_deaths(draws.published_intervals(_ids(c)))
     digits = {"prevalence": 10, "relative_risk": 10, "deaths": 2, "paf": 10, "deaths_mh": 2}
     return rounded(long.select("draw_id", "formula", "prevalence", "relative_risk", "deaths", "paf", "deaths_mh"), digits)
 
