@@ -6,17 +6,15 @@ long table carries all of them as columns (metric, comparison, measure).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes
 from ..functions.binning import bin_index, break_label
-from ..functions.joins import null_safe_join
 from ..functions.nulls import clamp, ratio
 from ..functions.reshape import inline_rows, lookup, position
-from .rollup import with_scheme_names
 
 RATE_METRICS = ("rate_per_100k", "percent")
 COMPARISONS = {"abs": "", "diff": "_diff"}
@@ -24,13 +22,13 @@ POINT_KEYS = ("measure_id", "estimate_id")
 
 
 def _metric_rows(
-    df: DataFrame, ids: Sequence[str], metrics: Sequence[str], prefix: str = "", scale: Column | None = None
+    df: DataFrame, ids: Sequence[str], metrics: Sequence[str], scale: Column | None = None
 ) -> DataFrame:
     """Levels for three estimates and differences for the two that have one."""
     rows = []
     for metric in metrics:
         for comparison, suffix in COMPARISONS.items():
-            plotted = F.col(f"{prefix}{metric}{suffix}")
+            plotted = F.col(f"{metric}{suffix}")
             rows.append(
                 {
                     "metric": F.lit(metric),
@@ -61,63 +59,61 @@ def pct_gdp(mapped: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFram
     """Costs as percent of GDP per place, raw and limited to the colour scale."""
     dalys = mapped.filter(F.col("measure_id") == codes.DALYS)
     ids = ["iso_code", "location_id", "on_map", *POINT_KEYS, *slices]
-    long = _metric_rows(dalys, ids, codes.CHART_COSTS, scale=F.col("gdp"))
+    long = _metric_rows(dalys, ids, codes.CHART_COSTS, F.col("gdp"))
     return _labelled(long.withColumn("clamped", clamp("value", *codes.PCT_GDP_LIMITS)))
 
 
-def _placed(rolled: DataFrame, region: DataFrame, scheme: str) -> DataFrame:
+def _placed(rolled: DataFrame, region: DataFrame) -> DataFrame:
     """Region rows repeated for every member place, for polygon fills."""
-    members = region.select("iso_code", scheme).distinct()
-    return null_safe_join(_points(rolled), members, scheme, "inner")
+    members = region.select("iso_code", *codes.SCHEMES).unpivot(
+        ["iso_code"], list(codes.SCHEMES), "scheme", "region"
+    )
+    return _points(rolled).join(members.distinct(), ["scheme", "region"])
 
 
-def region_choropleth(
-    rolled: DataFrame, region: DataFrame, scheme: str, slices: Sequence[str] = codes.SLICES
-) -> DataFrame:
+REGION_IDS = ("scheme", "region")
+
+
+def region_choropleth(rolled: DataFrame, region: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
     """Regional rates and percents as fill values of the member places."""
-    named = with_scheme_names(_placed(rolled, region, scheme), scheme)
-    ids = [F.lit(scheme).alias("scheme"), F.col(scheme).alias("region"), "iso_code", *POINT_KEYS, *slices]
-    return _labelled(_metric_rows(named, ids, RATE_METRICS, f"{scheme}_"))
+    ids = [*REGION_IDS, "iso_code", *POINT_KEYS, *slices]
+    return _labelled(_metric_rows(_placed(rolled, region), ids, RATE_METRICS))
 
 
-def region_pct_gdp(
-    rolled: DataFrame, region: DataFrame, scheme: str, slices: Sequence[str] = codes.SLICES
-) -> DataFrame:
+def region_pct_gdp(rolled: DataFrame, region: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
     """Regional costs as percent of regional GDP, raw and limited."""
-    named = with_scheme_names(_placed(rolled, region, scheme), scheme)
-    dalys = named.filter(F.col("measure_id") == codes.DALYS)
-    ids = [F.lit(scheme).alias("scheme"), F.col(scheme).alias("region"), "iso_code", *POINT_KEYS, *slices]
-    long = _metric_rows(dalys, ids, codes.CHART_COSTS, f"{scheme}_", F.col(f"{scheme}_gdp"))
+    dalys = _placed(rolled, region).filter(F.col("measure_id") == codes.DALYS)
+    ids = [*REGION_IDS, "iso_code", *POINT_KEYS, *slices]
+    long = _metric_rows(dalys, ids, codes.CHART_COSTS, F.col("gdp"))
     return _labelled(long.withColumn("clamped", clamp("value", *codes.PCT_GDP_LIMITS)))
 
 
-def _bars(rolled, scheme, metrics, order, slices, scale=None) -> DataFrame:
-    named = with_scheme_names(_points(rolled).filter(F.col(scheme).isNotNull()), scheme)
-    ids = [F.lit(scheme).alias("scheme"), F.col(scheme).alias("region"), *POINT_KEYS, *slices]
-    long = _metric_rows(named, ids, metrics, f"{scheme}_", scale)
-    return _labelled(
-        long.withColumns(
-            {
-                "region_rank": position("region", order or codes.REGION_ORDER[scheme]),
-                "label": F.bround("value", 1),
-            }
-        )
+def _bars(rolled, metrics, order, slices, scale=None) -> DataFrame:
+    named = _points(rolled).filter(F.col("region").isNotNull())
+    long = _metric_rows(named, [*REGION_IDS, *POINT_KEYS, *slices], metrics, scale)
+    rank = F.coalesce(
+        *[F.when(F.col("scheme") == scheme, position("region", places)) for scheme, places in order.items()]
     )
+    return _labelled(long.withColumns({"region_rank": rank, "label": F.bround("value", 1)}))
 
 
 def region_bars(
-    rolled: DataFrame, scheme: str, order: Sequence[str] | None = None, slices: Sequence[str] = codes.SLICES
+    rolled: DataFrame,
+    order: Mapping[str, Sequence[str]] = codes.REGION_ORDER,
+    slices: Sequence[str] = codes.SLICES,
 ) -> DataFrame:
     """Percent of burden per region, in display order, with a 1-decimal label."""
-    return _bars(rolled, scheme, ("percent",), order, slices)
+    return _bars(rolled, ("percent",), order, slices)
 
 
 def region_bars_gdp(
-    rolled: DataFrame, scheme: str, order: Sequence[str] | None = None, slices: Sequence[str] = codes.SLICES
+    rolled: DataFrame,
+    order: Mapping[str, Sequence[str]] = codes.REGION_ORDER,
+    slices: Sequence[str] = codes.SLICES,
 ) -> DataFrame:
     """Cost as percent of GDP per region; not limited."""
     dalys = rolled.filter(F.col("measure_id") == codes.DALYS)
-    return _bars(dalys, scheme, codes.CHART_COSTS, order, slices, F.col(f"{scheme}_gdp"))
+    return _bars(dalys, codes.CHART_COSTS, order, slices, F.col("gdp"))
 
 
 def binned_rates(
@@ -131,10 +127,10 @@ def binned_rates(
     fixed = codes.RATE_BREAKS[measure]
     rates = (
         _points(rolled)
-        .filter((F.col("measure_id") == measure) & F.col(scheme).isNotNull())
+        .filter((F.col("measure_id") == measure) & (F.col("scheme") == scheme) & F.col("region").isNotNull())
         .filter(F.col("estimate_id").isin(*codes.SHOWN_ESTIMATES))
         .select(
-            F.col(scheme).alias("region"),
+            "region",
             *POINT_KEYS,
             *slices,
             (F.col("rate_per_100k") / codes.RATE_SCALE[measure]).alias("rate"),
@@ -169,8 +165,9 @@ def extreme_regions(rolled: DataFrame, scheme: str = "ihme_region", slices: Sequ
     values = (
         _points(rolled)
         .filter((F.col("measure_id") == codes.DALYS) & (F.col("estimate_id") == codes.COMPOSITE))
+        .filter(F.col("scheme") == scheme)
         .select(
-            F.col(scheme).alias("region"),
+            "region",
             *slices,
             (ratio("cost_who1", "gdp") * 100.0).alias("regional_percent"),
         )

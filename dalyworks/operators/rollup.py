@@ -34,30 +34,43 @@ def pooled_rates(df: DataFrame) -> DataFrame:
     )
 
 
-def region_sums(df: DataFrame, scheme: str, slices: Sequence[str] = codes.SLICES) -> DataFrame:
-    """Sums per region and row key; places without a region form one group."""
-    return df.groupBy(scheme, *ROW_KEYS, *slices).agg(
-        na_sum("population_100k").alias("pop100k"),
-        na_sum("number").alias("number"),
-        na_sum("measure_total").alias("measure_total"),
-        na_rm_sum("gdp").alias("gdp"),
-        na_rm_sum("gdp_ppp").alias("gdp_ppp"),
+def region_sums(
+    df: DataFrame, schemes: Sequence[str] = codes.SCHEMES, slices: Sequence[str] = codes.SLICES
+) -> DataFrame:
+    """Sums per (scheme, region) and row key, for all schemes in one pass.
+
+    Places without a region form one group per scheme.
+    """
+    belongs = [F.struct(F.lit(s).alias("scheme"), F.col(s).alias("region")) for s in schemes]
+    return (
+        df.select("*", F.inline(F.array(*belongs)))
+        .groupBy("scheme", "region", *ROW_KEYS, *slices)
+        .agg(
+            na_sum("population_100k").alias("pop100k"),
+            na_sum("number").alias("number"),
+            na_sum("measure_total").alias("measure_total"),
+            na_rm_sum("gdp").alias("gdp"),
+            na_rm_sum("gdp_ppp").alias("gdp_ppp"),
+        )
     )
 
 
-def region_rollup(df: DataFrame, scheme: str, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+def region_rollup(
+    df: DataFrame, schemes: Sequence[str] = codes.SCHEMES, slices: Sequence[str] = codes.SLICES
+) -> DataFrame:
     """Region results with the region's own GDP per head as the value of a DALY."""
-    rates = pooled_rates(region_sums(df, scheme, slices))
+    rates = pooled_rates(region_sums(df, schemes, slices))
     return rates.withColumns(
         cost_columns(F.col("number"), F.col("gdp_per_capita"), F.col("gdp_ppp_per_capita"))
     )
 
 
 def with_scheme_names(df: DataFrame, scheme: str) -> DataFrame:
-    """Prefix the rolled-up columns with the scheme: ``<scheme>_<metric>``."""
+    """One scheme's rows, its name in the columns: ``<scheme>``, ``<scheme>_<metric>``."""
     base = ("pop100k", "measure_total", "gdp", "gdp_ppp", "population", "gdp_per_capita", "gdp_ppp_per_capita")
     names = [c for c in (*base, *codes.METRICS, *[f"{m}_diff" for m in codes.METRICS]) if c in df.columns]
-    return df.withColumnsRenamed({c: f"{scheme}_{c}" for c in names})
+    renamed = {"region": scheme, **{c: f"{scheme}_{c}" for c in names}}
+    return df.filter(F.col("scheme") == scheme).drop("scheme").withColumnsRenamed(renamed)
 
 
 def shown(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from .. import codes
 from ..operators import attribution, compare, dimensions, rollup, valuation
 from ..sources import readers
 
+REGION_KEYS = ("scheme", "region", "measure_id", "numeric_name", "paf_formula", *codes.SLICES)
 NATIONAL_KEYS = ("location_id", "measure_id", "numeric_name", "paf_formula", *codes.SLICES)
 
 
@@ -69,11 +71,13 @@ def regional(inputs: Inputs) -> DataFrame:
     return dimensions.region_full_join(valued(inputs), inputs.region)
 
 
-def region_diff(inputs: Inputs, scheme: str) -> DataFrame:
+def region_results(inputs: Inputs, schemes: Sequence[str] = codes.SCHEMES) -> DataFrame:
+    return rollup.region_rollup(regional(inputs), schemes)
+
+
+def region_diff(inputs: Inputs, schemes: Sequence[str] = codes.SCHEMES) -> DataFrame:
     """Regional results and their differences from the baseline estimate."""
-    rolled = rollup.region_rollup(regional(inputs), scheme)
-    keys = (scheme, "measure_id", "numeric_name", "paf_formula", *codes.SLICES)
-    return compare.diff_from_baseline(rolled, keys)
+    return compare.diff_from_baseline(region_results(inputs, schemes), REGION_KEYS)
 
 
 def levels(inputs: Inputs) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,15 @@ class Context:
         self.spark = spark
         self.tables = OrderTables(spark, folder)
 
-    @property
+    @cached_property
+    def gdp(self) -> DataFrame:
+        return readers.indicator(self.tables.gdp_wide, "gdp")
+
+    @cached_property
+    def gdp_ppp(self) -> DataFrame:
+        return readers.indicator(self.tables.gdp_ppp_wide, "gdp_ppp")
+
+    @cached_property
     def inputs(self) -> Inputs:
         t = self.tables
         return Inputs(
@@ -67,8 +76,8 @@ class Context:
             gbd_prev=t.gbd_prev,
             crosswalk=t.crosswalk,
             income=t.income,
-            gdp=readers.indicator(t.gdp_wide, "gdp"),
-            gdp_ppp=readers.indicator(t.gdp_ppp_wide, "gdp_ppp"),
+            gdp=self.gdp,
+            gdp_ppp=self.gdp_ppp,
             region=t.region,
             boundary=readers.repair_iso(t.boundary),
         )
@@ -78,7 +87,9 @@ REGISTRY: dict[str, Callable[[Context], DataFrame]] = {}
 
 
 def query(fn: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
-    REGISTRY[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore only keeps
+    the name apart from an imported one."""
+    REGISTRY[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -119,7 +130,7 @@ def iso_repair(c):
 
 @query
 def scan_gdp(c):
-    return rounded(readers.indicator(c.tables.gdp_wide, "gdp"))
+    return rounded(c.gdp)
 
 
 @query
@@ -127,7 +138,7 @@ def world_gdp_override(c):
     people = c.tables.population.withColumnRenamed("people", "population").join(
         c.tables.crosswalk.select("location_id", "iso_code"), "location_id"
     )
-    located = valuation.with_gdp(people, c.inputs.gdp, c.inputs.gdp_ppp)
+    located = valuation.with_gdp(people, c.gdp, c.gdp_ppp)
     return rounded(located.select("location_id", "iso_code", "gdp", "gdp_ppp"))
 
 
@@ -239,8 +250,6 @@ def valuation_(c):
     return _valuation(c, codes.PAF_POPULATION)
 
 
-REGISTRY["valuation"] = REGISTRY.pop("valuation_")
-
 
 @query
 def valuation_paf4(c):
@@ -286,8 +295,6 @@ def na_sum_(c):
     return rounded(rows.groupBy("who_region", *REGION_KEYS).agg(na_sum("gdp").alias("gdp")))
 
 
-REGISTRY["na_sum"] = REGISTRY.pop("na_sum_")
-
 
 @query
 def na_rm_sum_(c):
@@ -298,29 +305,27 @@ def na_rm_sum_(c):
     return rounded(rows.groupBy("who_region", *REGION_KEYS).agg(*aggs))
 
 
-REGISTRY["na_rm_sum"] = REGISTRY.pop("na_rm_sum_")
-
 
 @query
 def region_rollup(c):
     """Burden of named regions, rounded for the tables."""
     rows = rollup.shown(burden.regional(c.inputs)).filter(F.col("ihme_region").isNotNull())
-    sums = rollup.region_sums(rows, "ihme_region")
+    sums = rollup.region_sums(rows, ["ihme_region"])
     percent = F.bround(ratio("number", "measure_total") * 100.0, 1)
-    cols = ["ihme_region", "measure_name", "numeric_name", "estimate"]
+    cols = [F.col("region").alias("ihme_region"), "measure_name", "numeric_name", "estimate"]
     return sums.select(*cols, F.bround(F.col("number") / NUMBER_UNIT, 1).alias("number"), percent.alias("percent"))
 
 
 @query
 def region_rates(c):
-    rates = rollup.pooled_rates(rollup.region_sums(burden.regional(c.inputs), "who_region"))
-    cols = ["who_region", *REGION_KEYS, "rate_per_100k", "percent", "gdp_per_capita", "gdp_ppp_per_capita"]
+    rates = rollup.pooled_rates(rollup.region_sums(burden.regional(c.inputs), ["who_region"]))
+    cols = [F.col("region").alias("who_region"), *REGION_KEYS, "rate_per_100k", "percent", "gdp_per_capita", "gdp_ppp_per_capita"]
     return rounded(rates.select(*cols))
 
 
 def _rolled(c, scheme):
     cols = ["number", "measure_total", "gdp", "gdp_ppp", "pop100k", "rate_per_100k", "percent", *codes.COSTS]
-    named = rollup.with_scheme_names(rollup.region_rollup(burden.regional(c.inputs), scheme), scheme)
+    named = rollup.with_scheme_names(burden.region_results(c.inputs, [scheme]), scheme)
     return rounded(named.select(scheme, *REGION_KEYS, *[f"{scheme}_{x}" for x in cols]))
 
 
@@ -335,7 +340,7 @@ def ihme_region_rollup(c):
 
 
 def _region_diff(c, scheme):
-    named = rollup.with_scheme_names(burden.region_diff(c.inputs, scheme), scheme)
+    named = rollup.with_scheme_names(burden.region_diff(c.inputs, [scheme]), scheme)
     return rounded(named.select(scheme, *REGION_KEYS, *[f"{scheme}_{m}_diff" for m in codes.METRICS]))
 
 
@@ -399,19 +404,16 @@ def pct_gdp_clamped(c):
     return rounded(charts.pct_gdp(_mapped(c)).drop(*codes.SLICES))
 
 
-def _both_schemes(c, chart):
-    parts = [chart(burden.region_diff(c.inputs, s), s) for s in codes.SCHEMES]
-    return rounded(parts[0].unionByName(parts[1]).drop(*codes.SLICES))
-
-
 @query
 def region_choropleth(c):
-    return _both_schemes(c, lambda rolled, s: charts.region_choropleth(rolled, c.tables.region, s))
+    filled = charts.region_choropleth(burden.region_diff(c.inputs), c.tables.region)
+    return rounded(filled.drop(*codes.SLICES))
 
 
 @query
 def region_pct_gdp(c):
-    return _both_schemes(c, lambda rolled, s: charts.region_pct_gdp(rolled, c.tables.region, s))
+    filled = charts.region_pct_gdp(burden.region_diff(c.inputs), c.tables.region)
+    return rounded(filled.drop(*codes.SLICES))
 
 
 BAR_ORDER = {"who_region": WHO_ORDER, "ihme_region": IHME_ORDER}
@@ -419,32 +421,42 @@ BAR_ORDER = {"who_region": WHO_ORDER, "ihme_region": IHME_ORDER}
 
 @query
 def region_bars(c):
-    return _both_schemes(c, lambda rolled, s: charts.region_bars(rolled, s, BAR_ORDER[s]))
+    return rounded(charts.region_bars(burden.region_diff(c.inputs), BAR_ORDER).drop(*codes.SLICES))
 
 
 @query
 def region_bars_gdp(c):
-    return _both_schemes(c, lambda rolled, s: charts.region_bars_gdp(rolled, s, BAR_ORDER[s]))
+    return rounded(charts.region_bars_gdp(burden.region_diff(c.inputs), BAR_ORDER).drop(*codes.SLICES))
 
 
-def _bins(measure):
-    def run(c):
-        rolled = rollup.region_rollup(burden.regional(c.inputs), "ihme_region")
-        digits = {"rate": 6, "bin_low": 6, "bin_high": 6}
-        return rounded(charts.binned_rates(rolled, measure).drop(*codes.SLICES), digits)
+def _bins(c, measure):
+    binned = charts.binned_rates(burden.region_results(c.inputs, ["ihme_region"]), measure)
+    return rounded(binned.drop(*codes.SLICES), {"rate": 6, "bin_low": 6, "bin_high": 6})
 
-    return run
 
+@query
+def bins_deaths(c):
+    return _bins(c, codes.DEATHS)
 
-REGISTRY["bins_deaths"] = _bins(codes.DEATHS)
-REGISTRY["bins_dalys"] = _bins(codes.DALYS)
-REGISTRY["bins_ylds"] = _bins(codes.YLDS)
-REGISTRY["bins_ylls"] = _bins(codes.YLLS)
+
+@query
+def bins_dalys(c):
+    return _bins(c, codes.DALYS)
+
+
+@query
+def bins_ylds(c):
+    return _bins(c, codes.YLDS)
+
+
+@query
+def bins_ylls(c):
+    return _bins(c, codes.YLLS)
 
 
 @query
 def extreme_regions(c):
-    rolled = rollup.region_rollup(burden.regional(c.inputs), "ihme_region")
+    rolled = burden.region_results(c.inputs, ["ihme_region"])
     return rounded(charts.extreme_regions(rolled).drop(*codes.SLICES))
 
 
