@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT_BITS = 16
-
 
-def exact_sum(amount: Column, decimals: int = 4) -> Column:
-    """Decimal sum of a double that carries at most ``decimals`` decimals.
+def exact_sum(amount: str, decimals: int = 4) -> Column:
+    """Decimal sum of a double expression with at most ``decimals`` decimals.
 
-    The result does not depend on row order. The running state is two longs (a
-    high and a low part of the scaled amount), which stay in generated code and
-    have room for 10^13 rows of amounts up to 10^6; a DECIMAL buffer would
-    allocate per row.
+    The result does not depend on row order. The running state is two longs, the
+    scaled amount above and below 16 bits, which stay in generated code and have
+    room for 10^13 rows of amounts up to 10^6; a DECIMAL buffer would allocate
+    per row.
     """
-    scaled = F.rint(amount * float(10**decimals)).cast("long")
-    high = F.sum(F.shiftright(scaled, _SPLIT_BITS))
-    low = F.sum(scaled.bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1)))
-    total = high.cast("decimal(20,0)") * F.lit(Decimal(1 << _SPLIT_BITS)) + low.cast("decimal(20,0)")
-    return (total * F.lit(Decimal(1).scaleb(-decimals))).cast(f"decimal(38,{decimals})")
+    scaled = f"CAST(rint(({amount}) * {10.0**decimals}D) AS BIGINT)"
+    high = f"CAST(sum(shiftright({scaled}, 16)) AS DECIMAL(20, 0))"
+    low = f"CAST(sum({scaled} & 65535) AS DECIMAL(20, 0))"
+    return F.expr(f"CAST(({high} * 65536BD + {low}) * {10**-decimals:.{decimals}f}BD AS DECIMAL(38, {decimals}))")

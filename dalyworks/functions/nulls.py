@@ -14,20 +14,19 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def na_sum(c: Column | str) -> Column:
-    """Sum that is NULL as soon as one value of the group is NULL."""
-    c = as_col(c)
-    return F.when(F.count(F.lit(1)) == F.count(c), F.sum(c))
+def na_sum(name: str) -> Column:
+    """Sum of a column that is NULL as soon as one value of the group is NULL."""
+    return F.expr(f"CASE WHEN count(1) = count(`{name}`) THEN sum(`{name}`) END")
 
 
-def na_rm_sum(c: Column | str) -> Column:
+def na_rm_sum(name: str) -> Column:
     """Sum of the values present; 0 when there are none."""
-    return F.coalesce(F.sum(as_col(c)), F.lit(0.0))
+    return F.expr(f"coalesce(sum(`{name}`), 0D)")
 
 
 def zero_if_na(c: Column | str) -> Column:
-    c = as_col(c)
-    return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    """0 for NULL and for NaN."""
+    return F.coalesce(F.nanvl(as_col(c), F.lit(0.0)), F.lit(0.0))
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

@@ -29,10 +29,9 @@ def unpivot_bounds(extract: DataFrame) -> DataFrame:
 
 def _single(metric: int, bound: str) -> Column:
     """The value of one metric within a key; repeated rows must agree."""
-    value = F.when(F.col("metric_id") == metric, F.col(bound))
-    low, high = F.min(value), F.max(value)
-    clash = F.raise_error(F.lit(f"conflicting rows for one burden key (metric {metric}, {bound})"))
-    return F.when(low.eqNullSafe(high), high).otherwise(clash)
+    value = f"CASE WHEN metric_id = {metric} THEN `{bound}` END"
+    clash = f"raise_error('conflicting rows for one burden key: metric {metric}, {bound}')"
+    return F.expr(f"CASE WHEN min({value}) <=> max({value}) THEN max({value}) ELSE {clash} END")
 
 
 def number_rate_join(extract: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def cause_totals(attributed: DataFrame, slices: Sequence[str] = codes.SLICES) ->
     all_causes = F.col("cause_id") == codes.ALL_CAUSES
 
     def of_all_causes(name: str) -> Column:
-        return F.max(F.when(all_causes, F.col(name)))
+        return F.expr(f"max(CASE WHEN cause_id = {codes.ALL_CAUSES} THEN `{name}` END)")
 
     sums = {
         "original_agg": "original_value",

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes
 from ..functions.nulls import na_rm_sum, na_sum, ratio
 from ..functions.reshape import gather, lookup
-from .valuation import cost_columns
+from .valuation import value
 
 ROW_KEYS = ("estimate_id", "estimate", "measure_id", "measure_name", "numeric_name", "paf_formula")
 
@@ -59,10 +59,7 @@ def region_rollup(
     df: DataFrame, schemes: Sequence[str] = codes.SCHEMES, slices: Sequence[str] = codes.SLICES
 ) -> DataFrame:
     """Region results with the region's own GDP per head as the value of a DALY."""
-    rates = pooled_rates(region_sums(df, schemes, slices))
-    return rates.withColumns(
-        cost_columns(F.col("number"), F.col("gdp_per_capita"), F.col("gdp_ppp_per_capita"))
-    )
+    return value(pooled_rates(region_sums(df, schemes, slices)))
 
 
 def with_scheme_names(df: DataFrame, scheme: str) -> DataFrame:
@@ -165,15 +162,12 @@ def level_rollup(df: DataFrame, slices: Sequence[str] = codes.SLICES, costs: boo
     if not costs:
         percent = ratio("number", "measure_total") * 100.0
         return rolled.select(*keys, "number", "measure_total", percent.alias("percent"))
-    rates = pooled_rates(rolled)
-    regional = cost_columns(F.col("number"), F.col("gdp_per_capita"), F.col("gdp_ppp_per_capita"))
-    section = F.col("section")
-    by_level = {
-        cost: F.when(section == SECTIONS["world"], F.col(f"own_{cost}"))
-        .when(section == SECTIONS["income"], F.col(f"added_{cost}"))
-        .otherwise(regional[cost])
+    rates = value(pooled_rates(rolled), prefix="regional_")
+    by_level = [
+        F.expr(
+            f"CASE section WHEN {SECTIONS['world']} THEN own_{cost} WHEN {SECTIONS['income']} THEN added_{cost}"
+            f" ELSE regional_{cost} END AS {cost}"
+        )
         for cost in codes.COSTS
-    }
-    return rates.select(
-        *keys, "number", "measure_total", "percent", "gdp", *[e.alias(c) for c, e in by_level.items()]
-    )
+    ]
+    return rates.select(*keys, "number", "measure_total", "percent", "gdp", *by_level)

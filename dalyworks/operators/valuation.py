@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes
 from ..functions.joins import null_safe_join
-from ..functions.nulls import if_else, ratio
+from ..functions.nulls import ratio
 
 
 def with_gdp(df: DataFrame, gdp: DataFrame, gdp_ppp: DataFrame) -> DataFrame:
@@ -30,24 +30,30 @@ def with_gdp(df: DataFrame, gdp: DataFrame, gdp_ppp: DataFrame) -> DataFrame:
     )
 
 
-def cost_columns(number: Column, gdp_per_capita: Column, gdp_ppp_per_capita: Column) -> dict[str, Column]:
-    """The six valuations; 0 for measures other than DALYs."""
-    dalys = F.col("measure_id") == codes.DALYS
-    zero = F.lit(0.0)
-    cc1 = if_else(dalys, number * codes.COPENHAGEN_LOW, zero)
-    who1 = if_else(dalys, number * gdp_per_capita, zero)
-    who3 = if_else(dalys, number * gdp_ppp_per_capita, zero)
-    return {
-        "cost_cc1": cc1,
-        "cost_cc2": cc1 * codes.COPENHAGEN_FACTOR,
-        "cost_who1": who1,
-        "cost_who2": who1 * codes.GDP_FACTOR,
-        "cost_who3": who3,
-        "cost_who4": who3 * codes.GDP_FACTOR,
-    }
-
+def value(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Add the six valuations; 0 for measures other than DALYs.
 
-def value(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        cost_columns(F.col("number"), F.col("gdp_per_capita"), F.col("gdp_ppp_per_capita"))
-    )
+    Columns are read as ``number``, ``gdp_per_capita`` and ``gdp_ppp_per_capita``
+    and added with ``prefix`` before their names.
+    """
+    daly_values = {
+        "cost_cc1": f"number * {codes.COPENHAGEN_LOW}D",
+        "cost_who1": "number * gdp_per_capita",
+        "cost_who3": "number * gdp_ppp_per_capita",
+    }
+    multiples = {
+        "cost_cc2": ("cost_cc1", codes.COPENHAGEN_FACTOR),
+        "cost_who2": ("cost_who1", codes.GDP_FACTOR),
+        "cost_who4": ("cost_who3", codes.GDP_FACTOR),
+    }
+    # A NULL measure (a place without burden) has a NULL cost, not 0.
+    single = {
+        f"{prefix}{name}": F.expr(
+            f"CASE WHEN measure_id = {codes.DALYS} THEN {amount} WHEN measure_id IS NOT NULL THEN 0D END"
+        )
+        for name, amount in daly_values.items()
+    }
+    times = {
+        f"{prefix}{name}": F.expr(f"`{prefix}{base}` * {factor}D") for name, (base, factor) in multiples.items()
+    }
+    return df.withColumns(single).withColumns(times)

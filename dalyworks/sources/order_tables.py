@@ -14,7 +14,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .. import codes
 from ..functions.exact import exact_sum
@@ -46,9 +45,9 @@ SOUTH_SUDAN_NATION = 5
 UNMAPPED_NATION = 24
 
 
-def _iso(nation: Column) -> Column:
-    return F.when(nation == SOUTH_SUDAN_NATION, F.lit("SSD")).otherwise(
-        F.concat(F.lit("N"), F.lpad(nation.cast("string"), 2, "0"))
+def _iso(nation: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {nation} = {SOUTH_SUDAN_NATION} THEN 'SSD' ELSE concat('N', lpad({nation}, 2, '0')) END"
     )
 
 
@@ -90,12 +89,13 @@ class OrderTables:
         """Exact sums per nation, part type, size class and line status."""
         part = self.table("part").select("p_partkey", "p_type", (F.col("p_size") <= 10).alias("small"))
         line = self.table("lineitem")
-        up, low = 1 + F.col("l_tax"), 1 - F.col("l_discount")
-        first = (F.col("l_linenumber") == 1).cast("double")
-        sums = []
-        for stem, x in (("q", F.col("l_quantity")), ("p", F.col("l_extendedprice")), ("n", first)):
-            for bound, factor in zip(codes.BOUNDS, (None, up, low)):
-                sums.append(exact_sum(x if factor is None else x * factor).alias(f"{stem}_{bound}"))
+        amounts = {"q": "l_quantity", "p": "l_extendedprice", "n": "CAST(l_linenumber = 1 AS DOUBLE)"}
+        factors = {"val": "1D", "upper": "(1D + l_tax)", "lower": "(1D - l_discount)"}
+        sums = [
+            exact_sum(f"{x} * {factors[bound]}").alias(f"{stem}_{bound}")
+            for stem, x in amounts.items()
+            for bound in codes.BOUNDS
+        ]
         return (
             line.join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(self.order_places, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -122,7 +122,7 @@ class OrderTables:
         """(location_id, iso_code, location_name), the world included."""
         nations = self.table("nation").select(
             (F.col("n_nationkey") + 2).alias("location_id"),
-            _iso(F.col("n_nationkey")).alias("iso_code"),
+            _iso("n_nationkey").alias("iso_code"),
             F.col("n_name").alias("location_name"),
         )
         world = literal_table(
@@ -139,41 +139,27 @@ class OrderTables:
     @cached_property
     def numbers(self) -> DataFrame:
         """Burden numbers per location, measure and cause, wide in the bounds."""
-        status = F.col("status")
-        causes = F.lit(None)
-        for name, ids in TYPE_CAUSES.items():
-            causes = F.when(F.col("p_type") == name, F.array(*[F.lit(i) for i in ids])).otherwise(causes)
-        causes = F.concat(
-            causes,
-            F.array(F.lit(codes.ALL_CAUSES)),
-            F.when((F.col("p_type") == "MEDIUM") & F.col("small"), F.array(F.lit(SMALL_MEDIUM_CAUSE))).otherwise(
-                F.array().cast("array<int>")
-            ),
+        causes = " ".join(
+            f"WHEN '{kind}' THEN array({codes.ALL_CAUSES}, {', '.join(map(str, ids))})"
+            for kind, ids in TYPE_CAUSES.items()
         )
-
-        def measure(code: int, stem: str, scale: float, wanted: Column) -> Column:
-            row = F.struct(
-                F.lit(code).alias("measure_id"),
-                F.lit(scale).alias("scale"),
-                *[F.col(f"{stem}_{b}").alias(b) for b in codes.BOUNDS],
-            )
-            return F.when(wanted, row)
-
-        always = F.lit(True)
-        measures = F.array_compact(
-            F.array(
-                measure(codes.DEATHS, "q", 25.0, status == "F"),
-                measure(codes.DALYS, "p", 1000.0, always),
-                measure(codes.YLDS, "p", 1000.0, status == "O"),
-                measure(codes.YLLS, "p", 1000.0, status == "F"),
-                measure(codes.PREVALENCE, "n", 1.0, always),
+        extra = f"CASE WHEN p_type = 'MEDIUM' AND small THEN array({SMALL_MEDIUM_CAUSE}) ELSE array() END"
+        bounds = {stem: ", ".join(f"'{b}', {stem}_{b}" for b in codes.BOUNDS) for stem in "qpn"}
+        measures = ", ".join(
+            f"CASE WHEN {wanted} THEN named_struct('measure_id', {code}, 'scale', {scale}D, {bounds[stem]}) END"
+            for code, stem, scale, wanted in (
+                (codes.DEATHS, "q", 25.0, "status = 'F'"),
+                (codes.DALYS, "p", 1000.0, "true"),
+                (codes.YLDS, "p", 1000.0, "status = 'O'"),
+                (codes.YLLS, "p", 1000.0, "status = 'F'"),
+                (codes.PREVALENCE, "n", 1.0, "true"),
             )
         )
         stems = [f"{s}_{b}" for s in "qpn" for b in codes.BOUNDS]
         expanded = (
             self.cells.select(*_with_world("nation", "p_type", "small", "status", *stems))
-            .withColumn("cause_id", F.explode(causes))
-            .select("location_id", "cause_id", F.inline(measures))
+            .selectExpr("*", f"explode(concat(CASE p_type {causes} END, {extra})) AS cause_id")
+            .selectExpr("location_id", "cause_id", f"inline(array_compact(array({measures})))")
         )
         sums = [F.sum(b).cast("double").alias(b) for b in codes.BOUNDS]
         totals = expanded.groupBy("location_id", "measure_id", "cause_id", "scale").agg(*sums)
@@ -182,49 +168,40 @@ class OrderTables:
     @cached_property
     def gbd(self) -> DataFrame:
         """Burden extract: three metrics per number, location 2 repeated."""
-        all_causes = Window.partitionBy("location_id", "measure_id")
+        totals = [
+            f"max(CASE WHEN cause_id = {codes.ALL_CAUSES} THEN {b} END)"
+            f" OVER (PARTITION BY location_id, measure_id) AS all_{b}"
+            for b in codes.BOUNDS
+        ]
         named = (
-            self.numbers.withColumns(
-                {
-                    f"all_{b}": F.max(F.when(F.col("cause_id") == codes.ALL_CAUSES, F.col(b))).over(all_causes)
-                    for b in codes.BOUNDS
-                }
-            )
+            self.numbers.selectExpr("*", *totals)
             .join(self.population, "location_id")
             .join(self.places.select("location_id", "location_name"), "location_id")
         )
         value = {
-            codes.NUMBER: lambda b: F.col(b),
-            codes.PERCENT: lambda b: F.try_divide(F.col(b), F.col(f"all_{b}")),
-            codes.RATE: lambda b: F.col(b) / F.col("people") * 1e5,
+            codes.NUMBER: "{b}",
+            codes.PERCENT: "try_divide({b}, all_{b})",
+            codes.RATE: "{b} / people * 1e5D",
         }
-        metrics = F.array(
-            *[
-                F.struct(
-                    F.lit(m).alias("metric_id"),
-                    F.lit(codes.METRIC_NAMES[m]).alias("metric_name"),
-                    F.lit(2019).alias("year"),
-                    *[value[m](b).alias(b) for b in codes.BOUNDS],
-                )
-                for m in value
-            ]
+        metrics = ", ".join(
+            f"named_struct('metric_id', {m}, 'metric_name', '{codes.METRIC_NAMES[m]}', 'year', 2019, "
+            + ", ".join(f"'{b}', {text.format(b=b)}" for b in codes.BOUNDS)
+            + ")"
+            for m, text in value.items()
         )
-        copies = F.when(F.col("location_id") == 2, F.array_repeat(F.lit(1), 2)).otherwise(F.array(F.lit(1)))
-        return (
-            named.withColumn("copy", F.explode(copies))
-            .select(
-                "measure_id",
-                lookup("measure_id", codes.MEASURE_NAMES).alias("measure_name"),
-                "location_id",
-                "location_name",
-                F.lit(3).alias("sex_id"),
-                F.lit("Both").alias("sex_name"),
-                F.lit(22).alias("age_id"),
-                F.lit("All ages").alias("age_name"),
-                "cause_id",
-                lookup("cause_id", CAUSE_NAMES).alias("cause_name"),
-                F.inline(metrics),
-            )
+        copies = "explode(array_repeat(1, CASE WHEN location_id = 2 THEN 2 ELSE 1 END)) AS copy"
+        return named.selectExpr("*", copies).select(
+            "measure_id",
+            lookup("measure_id", codes.MEASURE_NAMES).alias("measure_name"),
+            "location_id",
+            "location_name",
+            F.expr("3 AS sex_id"),
+            F.expr("'Both' AS sex_name"),
+            F.expr("22 AS age_id"),
+            F.expr("'All ages' AS age_name"),
+            "cause_id",
+            lookup("cause_id", CAUSE_NAMES).alias("cause_name"),
+            F.expr(f"inline(array({metrics}))"),
         )
 
     @cached_property
@@ -255,14 +232,14 @@ class OrderTables:
         )
         mapped = self.table("nation").filter(F.col("n_nationkey") < 20)
         blank = literal_table(self.spark, "iso_code string, income_level string", [(None, None), (None, None)])
-        return mapped.select(_iso(F.col("n_nationkey")).alias("iso_code"), levels.alias("income_level")).unionByName(
+        return mapped.select(_iso("n_nationkey").alias("iso_code"), levels.alias("income_level")).unionByName(
             blank
         )
 
     @staticmethod
     def _wide(per_nation: DataFrame, scale: float) -> DataFrame:
         """Yearly indicator table with a world row; only 2019 is real."""
-        codes_of_row = F.explode(F.array(_iso(F.col("nation")), F.lit(codes.WORLD_ISO))).alias("iso_code")
+        codes_of_row = F.explode(F.array(_iso("nation"), F.lit(codes.WORLD_ISO))).alias("iso_code")
         totals = per_nation.select(codes_of_row, "amount").groupBy("iso_code").agg(F.sum("amount").alias("amount"))
         value = F.col("amount").cast("double") * scale
         return totals.select(
@@ -279,7 +256,7 @@ class OrderTables:
             self.table("supplier")
             .filter(F.col("s_nationkey") % 7 != 3)
             .groupBy(F.col("s_nationkey").alias("nation"))
-            .agg(exact_sum(F.abs("s_acctbal")).alias("amount"))
+            .agg(exact_sum("abs(s_acctbal)").alias("amount"))
         )
         return self._wide(per_nation, 1000.0)
 
@@ -290,7 +267,7 @@ class OrderTables:
         per_nation = (
             orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy("nation")
-            .agg(exact_sum(F.col("o_totalprice")).alias("amount"))
+            .agg(exact_sum("o_totalprice").alias("amount"))
         )
         return self._wide(per_nation, 1.0)
 
@@ -298,7 +275,7 @@ class OrderTables:
     def region(self) -> DataFrame:
         nation = self.table("nation").filter(F.col("n_nationkey") != UNMAPPED_NATION)
         mapped = nation.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-            _iso(F.col("n_nationkey")).alias("iso_code"),
+            _iso("n_nationkey").alias("iso_code"),
             F.col("r_name").alias("who_region"),
             F.concat("r_name", F.lit("-"), (F.floor(F.col("n_nationkey") / 5) % 2).cast("string")).alias(
                 "ihme_region"
@@ -314,7 +291,7 @@ class OrderTables:
     @cached_property
     def boundary(self) -> DataFrame:
         south_sudan = F.col("n_nationkey") == SOUTH_SUDAN_NATION
-        code = _iso(F.col("n_nationkey"))
+        code = _iso("n_nationkey")
         nations = self.table("nation").select(
             F.when(south_sudan, F.lit("X05")).otherwise(code).alias("gu_a3"),
             F.when(south_sudan, F.lit("SDS")).otherwise(code).alias("adm0_a3"),
@@ -333,7 +310,7 @@ class OrderTables:
             F.coalesce(F.sum(F.when(F.col("p_type") == "STANDARD", F.col("lines"))), F.lit(0)).alias("mental"),
             F.coalesce(F.sum(F.when(F.col("p_type") == "PROMO", F.col("lines"))), F.lit(0)).alias("maternal"),
         )
-        keyed = counts.select(_iso(F.col("nation")).alias("iso_code"), "mental", "maternal").join(
+        keyed = counts.select(_iso("nation").alias("iso_code"), "mental", "maternal").join(
             self.region.select("iso_code", "ihme_region"), "iso_code", "left"
         )
         mapped = F.col("ihme_region").isNotNull()
