@@ -20,5 +20,5 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "ro
 
 def write_indexed_csv(df: DataFrame, order: Sequence[Column | str], path: str, keep: Sequence[str]) -> None:
     """Write a report table as one CSV with a leading unnamed index column."""
-    out = with_row_index(df.select(*keep), order)
+    out = with_row_index(df, order).select("row_index", *[F.col(f"`{c}`") for c in keep])
     out.toDF("", *keep).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -9,11 +9,17 @@ from __future__ import annotations
 import re
 
 
-def r(expr: str, digits: int) -> str:
+def once(expr: str, digits: int) -> str:
     """Round half to even; adding zero turns -0 into 0."""
     return f"(round_even({expr}, {digits}) + 0.0::DOUBLE)"
 
 
+def r(expr: str, digits: int) -> str:
+    """Round in two steps: the first removes the noise of summation order, so
+    that exact halves are seen as such by the second."""
+    return once(f"round_even({expr}, {digits + 4})", digits)
+
+
 def div(a: str, b: str) -> str:
     return f"(({a}) / nullif({b}, 0))"
 
@@ -240,13 +246,13 @@ SELECT income_level, numeric_name, estimate, {', '.join(f'coalesce(sum({c}), 0)
 FROM valued WHERE measure_id = 2 AND estimate_id <> 3 AND income_level IS NOT NULL GROUP BY ALL"""
 CTES["t1"] = f"""
 SELECT measure_name, location_name, 1 AS section, 1 AS place_rank, numeric_name, estimate,
-       {r(f'number / {NUMBER_UNIT}', 1)} AS number, {r('percent', 1)} AS percent
+       {once(f'number / {NUMBER_UNIT}', 1)} AS number, {once('percent', 1)} AS percent
 FROM valued WHERE location_id = 1 AND estimate_id <> 3
 UNION ALL SELECT measure_name, income_name, 2, income_rank, numeric_name, estimate,
-       {r(f'number / {NUMBER_UNIT}', 1)}, {r(div('number', 'measure_total') + ' * 100', 1)}
+       {once(f'number / {NUMBER_UNIT}', 1)}, {once(div('number', 'measure_total') + ' * 100', 1)}
 FROM income_sums JOIN income_names USING (income_level)
 UNION ALL SELECT measure_name, region, 3, 1, numeric_name, estimate,
-       {r(f'number / {NUMBER_UNIT}', 1)}, {r(div('number', 'measure_total') + ' * 100', 1)}
+       {once(f'number / {NUMBER_UNIT}', 1)}, {once(div('number', 'measure_total') + ' * 100', 1)}
 FROM ihme_region_sums WHERE region IS NOT NULL AND estimate_id <> 3"""
 CTES["t2_wide"] = f"""
 SELECT 'Global' AS location_name, 1 AS section, 1 AS place_rank, numeric_name, estimate, {', '.join(COSTS)}
@@ -257,7 +263,7 @@ UNION ALL SELECT region, 3, 1, numeric_name, estimate, {', '.join(COSTS)}
 FROM ihme_region_roll WHERE region IS NOT NULL AND measure_id = 2 AND estimate_id <> 3"""
 CTES["t2"] = " UNION ALL ".join(
     f"SELECT location_name, section, place_rank, numeric_name, estimate, '{c}' AS name, "
-    f"{r(f'{c} / {COST_UNIT}', 2)} AS value FROM t2_wide"
+    f"{once(f'{c} / {COST_UNIT}', 2)} AS value FROM t2_wide"
     for c in COSTS
 )
 CTES["t1_pivot"] = "SELECT measure_name, location_name, section, place_rank, " + ", ".join(
@@ -373,7 +379,7 @@ def bars(scheme: str, metrics, scale=None, where="true") -> str:
         order = [f"{o}-{i}" for o in order for i in (1, 0)]
     rank = "CASE region " + " ".join(f"WHEN '{o}' THEN {i}" for i, o in enumerate(order, 1)) + " END AS region_rank"
     source = f"(SELECT '{scheme}' AS scheme, * FROM {scheme}_comp WHERE region IS NOT NULL)"
-    return chart(source, "scheme, region", metrics, f"{VALUE}, {rank}, {r('raw', 1)} AS label", scale, where)
+    return chart(source, "scheme, region", metrics, f"{VALUE}, {rank}, {once('raw', 1)} AS label", scale, where)
 
 
 BREAKS = {
@@ -419,16 +425,16 @@ def headline() -> str:
     t1 = lambda c, place="Global": table_value(c, "t1_pivot", f"{dalys} AND location_name = '{place}'")
     t2 = lambda c: table_value(c, "t2_pivot", "name = 'cost_who1' AND location_name = 'Global'")
     cells = {
-        "abstract1": r(t1("val_number_Composite method"), 0),
+        "abstract1": once(t1("val_number_Composite method"), 0),
         "abstract2": f"floor({t1('val_percent_Composite method')})",
-        "abstract3": r(t1("val_number_GBD 2019"), 0),
+        "abstract3": once(t1("val_number_GBD 2019"), 0),
         "abstract4": floor_to(t2("val_Composite method")),
         "results1": f"floor({t1('val_number_GBD 2019')})",
-        "results2": r(t1("val_percent_GBD 2019"), 0),
+        "results2": once(t1("val_percent_GBD 2019"), 0),
         "results3": f"floor({t1('val_percent_2016 reallocation approach')})",
         "results4": f"floor({t1('val_number_2016 reallocation approach')})",
-        "results5": r(t1("val_number_Composite method", "High income"), 0),
-        "results6": r(t1("val_number_Composite method", "Low income"), 0),
+        "results5": once(t1("val_number_Composite method", "High income"), 0),
+        "results6": once(t1("val_number_Composite method", "Low income"), 0),
         "results7": t2("val_Composite method"),
         "results8": t2("val_2016 reallocation approach"),
         "results9": t2("val_GBD 2019"),
@@ -437,7 +443,7 @@ def headline() -> str:
     }
     ends = {"abstract5": ("max", "region"), "abstract6": ("max", "pct"), "abstract7": ("min", "region"), "abstract8": ("min", "pct")}
     for name, (end, what) in ends.items():
-        picked = "string_agg(region, '; ' ORDER BY region)" if what == "region" else r("max(pct)", 1)
+        picked = "string_agg(region, '; ' ORDER BY region)" if what == "region" else once("max(pct)", 1)
         cells[name] = f"(SELECT {picked} FROM shares WHERE pct = (SELECT {end}(pct) FROM shares))"
     inner = ", ".join(f"{v} AS {k}" for k, v in cells.items())
     names = [f"abstract{i}" for i in range(1, 9)] + [f"results{i}" for i in range(1, 10)]
@@ -450,7 +456,7 @@ SELECT {', '.join(names)}, {div('abstract1', 'abstract3')} > 3 AS more_than_thre
        WHEN {div('results5', 'results6')} IS NOT NULL THEN 'approximately twice' END AS income_gradient,
   abstract1 - results4 AS added_by_composite, {floor_to('results7 - results8')} AS cost_over_realloc,
   {floor_to('results7 - results9')} AS cost_over_gbd, abstract1 - results1 AS underestimate,
-  {r(div('abstract1 - results1', 'abstract1') + ' * 100', 0)} AS underestimate_percent,
+  {once(div('abstract1 - results1', 'abstract1') + ' * 100', 0)} AS underestimate_percent,
   {floor_to('abstract4 - 2.9::DOUBLE')} AS over_earlier_projection, {floor_to('d1')} AS cost_range_low,
   {floor_to('d2')} AS cost_range_high FROM h"""
 
@@ -539,8 +545,8 @@ FINAL: dict[str, str] = {
     "na_sum": f"SELECT who_region, measure_id, numeric_name, estimate_id, {r(na_sum('gdp'), 2)} AS gdp FROM regional GROUP BY ALL",
     "na_rm_sum": f"""SELECT who_region, measure_id, numeric_name, estimate_id, {r('coalesce(sum(gdp), 0)', 2)} AS gdp,
         {r('coalesce(sum(gdp_ppp), 0)', 2)} AS gdp_ppp FROM regional GROUP BY ALL""",
-    "region_rollup": f"""SELECT region AS ihme_region, measure_name, numeric_name, estimate, {r(f'number / {NUMBER_UNIT}', 1)} AS number,
-        {r(div('number', 'measure_total') + ' * 100', 1)} AS percent FROM ihme_region_sums WHERE region IS NOT NULL AND estimate_id <> 3""",
+    "region_rollup": f"""SELECT region AS ihme_region, measure_name, numeric_name, estimate, {once(f'number / {NUMBER_UNIT}', 1)} AS number,
+        {once(div('number', 'measure_total') + ' * 100', 1)} AS percent FROM ihme_region_sums WHERE region IS NOT NULL AND estimate_id <> 3""",
     "region_rates": f"""SELECT region AS who_region, measure_id, numeric_name, estimate_id, {r('rate_per_100k', 4)} AS rate_per_100k,
         {r('percent', 6)} AS percent, {r('gdp_per_capita', 6)} AS gdp_per_capita, {r('gdp_ppp_per_capita', 6)} AS gdp_ppp_per_capita
         FROM who_region_rates""",

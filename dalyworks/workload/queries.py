@@ -38,7 +38,11 @@ DIGITS = {
 
 
 def rounded(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
-    """Round the double columns, in double arithmetic, ties to even."""
+    """Round the double columns in double arithmetic, ties to even.
+
+    A first rounding, four digits finer, removes the noise of summation order,
+    so that exact halves are seen as such.
+    """
     digits = {**DIGITS, **(digits or {})}
     out = []
     for field in df.schema.fields:
@@ -46,8 +50,9 @@ def rounded(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
         for scheme in codes.SCHEMES:
             stem = stem.removeprefix(f"{scheme}_")
         if field.dataType.typeName() == "double" and stem in digits:
-            scale = 10.0 ** digits[stem]
-            out.append(f"rint(`{field.name}` * {scale:.1f}D) / {scale:.1f}D + 0D AS `{field.name}`")
+            fine, scale = (f"{10.0 ** (digits[stem] + more):.1f}D" for more in (4, 0))
+            snapped = f"(rint(`{field.name}` * {fine}) / {fine})"
+            out.append(f"rint({snapped} * {scale}) / {scale} + 0D AS `{field.name}`")
         else:
             out.append(f"`{field.name}`")
     return df.selectExpr(*out)
