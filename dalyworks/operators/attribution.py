@@ -17,6 +17,7 @@ from .. import codes
 from ..functions.joins import null_safe_join
 from ..functions.nulls import if_else, na_sum, ratio, zero_if_na
 from ..functions.reshape import inline_rows, literal_table, lookup
+from ..runtime import stage
 
 _MEASURED = ("metric_id", "metric_name", *codes.BOUNDS)
 
@@ -92,8 +93,11 @@ def factor_table(spark: SparkSession) -> DataFrame:
 
 
 def allocate(burden: DataFrame, factors: DataFrame) -> DataFrame:
-    """Original allocation and 2016 reallocation: number x weight, 0 without one."""
-    joined = burden.join(F.broadcast(factors), ["cause_id", "numeric_name"], "left")
+    """Original allocation and 2016 reallocation: number x weight, 0 without one.
+
+    The default factors are literals of known size, which the planner broadcasts.
+    """
+    joined = burden.join(factors, ["cause_id", "numeric_name"], "left")
     return joined.withColumns(
         {
             "original_value": F.col("number") * zero_if_na("original_weight"),
@@ -228,8 +232,9 @@ def estimates(combined: DataFrame) -> DataFrame:
 def group_totals(df: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
     """Keep every row and add NULL-propagating sums over its group.
 
-    The sums are aggregated first and joined back, so a group that holds a large
-    part of the rows is never gathered in one task.
+    The sums are aggregated first, staged, and joined back: a group that holds a
+    large part of the rows is never gathered in one task, and the planner knows
+    whether the totals are small enough to broadcast.
     """
     totals = df.groupBy(*keys).agg(*[na_sum(c).alias(n) for n, c in sums.items()])
-    return null_safe_join(df, totals, keys)
+    return null_safe_join(df, stage(totals, "totals"), keys)

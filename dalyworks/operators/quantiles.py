@@ -4,6 +4,10 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer. Here a bounded sketch only *brackets* each quantile; rows
 are counted per bracket segment, and just the narrow segments that contain a
 wanted rank are ordered. The sketch decides the amount of work, not the result.
+
+The sketches and the wanted ranks (a few rows per group) are staged, so the
+planner knows their size: it broadcasts them when they are small, and then no
+pass shuffles the values themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe_join
+from ..runtime import stage
 
 
 def grouped_quantiles(
@@ -27,9 +32,9 @@ def grouped_quantiles(
     """One row per group with the named quantiles, interpolated between ranks.
 
     ``moments`` are further aggregates of ``value``, computed in the same pass as
-    the sketch. NULL values are ignored. The input is read three times (sketch,
-    segment counts, the few rows around each quantile); stages under it that
-    shuffle are reused.
+    the sketch. NULL values are ignored. The input is read three times: for the
+    sketch, the segment counts, and the few rows around each quantile. The first
+    two passes run when this function is called.
     """
     keys, moments = list(keys), dict(moments or {})
     data = df.select(*keys, value).filter(F.col(value).isNotNull())
@@ -40,6 +45,7 @@ def grouped_quantiles(
         F.count(F.lit(1)).alias("__n"),
         *[m.alias(name) for name, m in moments.items()],
     )
+    sketch = stage(sketch, "sketch")
     steps = " + ".join(f"CAST(`{value}` > __cuts[{i}] AS INT)" for i in range(len(cuts)))
     placed = null_safe_join(data, sketch, keys).withColumn("__segment", F.expr(steps))
 
@@ -66,6 +72,7 @@ def grouped_quantiles(
     wanted = targets.groupBy(*keys, *moments, "__segment", "__start").agg(
         F.collect_list(F.struct("name", "rank", "share")).alias("__wanted")
     )
+    wanted = stage(wanted, "ranks")
     inside = null_safe_join(placed.select(*keys, "__segment", value), wanted, [*keys, "__segment"], "inner")
     running = Window.partitionBy(*keys, "__segment").orderBy(value)
     ordered = (
