@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import codes
@@ -136,7 +136,8 @@ def binned_rates(
             (F.col("rate_per_100k") / codes.RATE_SCALE[measure]).alias("rate"),
         )
     )
-    largest = rates.groupBy(*slices).agg(F.max("rate").alias("largest"))
+    # One row per region and estimate, so a window over all of them is small.
+    largest = F.max("rate").over(Window.partitionBy(*slices))
     breaks = F.array_sort(F.array(*[F.lit(float(b)) for b in fixed], F.col("largest")))
     texts = F.array(*[F.lit(f"{b:g}") for b in fixed])
     edges = F.array(*[F.lit(float(b)) for b in fixed])
@@ -144,7 +145,7 @@ def binned_rates(
         F.col("breaks"), lambda b: F.coalesce(F.get(texts, F.array_position(edges, b).cast("int") - 1), "top_label")
     )
     binned = (
-        rates.join(largest, list(slices))
+        rates.withColumn("largest", largest)
         .withColumns({"breaks": breaks, "top_label": break_label(F.col("largest"), fixed)})
         .withColumn("bin", bin_index(F.col("rate"), F.col("breaks")))
         .withColumn("labels", labels)
@@ -173,15 +174,18 @@ def extreme_regions(rolled: DataFrame, scheme: str = "ihme_region", slices: Sequ
         )
         .filter(F.col("region").isNotNull() & F.col("regional_percent").isNotNull())
     )
-    ends = values.groupBy(*slices).agg(
-        F.max("regional_percent").alias("highest"), F.min("regional_percent").alias("lowest")
-    )
+    # One row per region, so a window over all of them is small.
+    everywhere = Window.partitionBy(*slices)
+    ends = {
+        "highest": F.max("regional_percent").over(everywhere),
+        "lowest": F.min("regional_percent").over(everywhere),
+    }
     kinds = F.array_compact(
         F.array(
             F.when(F.col("regional_percent") == F.col("highest"), F.lit("max")),
             F.when(F.col("regional_percent") == F.col("lowest"), F.lit("min")),
         )
     )
-    return values.join(ends, list(slices)).select(
+    return values.withColumns(ends).select(
         "region", *slices, "regional_percent", F.explode(kinds).alias("extreme")
     )
