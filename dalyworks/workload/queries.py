@@ -14,6 +14,7 @@ from ..functions.nulls import na_rm_sum, na_sum, ratio
 from ..operators import attribution, charts, compare, dimensions, draws, evidence, rollup, valuation
 from ..plans import burden, headlines, sensitivity, tables
 from ..plans.burden import Inputs
+from ..runtime import stage
 from ..sources import readers
 from ..sources.order_tables import OrderTables
 from ..sources.sinks import with_row_index
@@ -535,7 +536,8 @@ def mc_ci(c):
     deaths = c.tables.numbers.filter(
         (F.col("cause_id") == codes.ALL_CAUSES) & (F.col("measure_id") == codes.DEATHS)
     ).select("location_id", *[F.col(b).alias(f"deaths_{b}") for b in codes.BOUNDS])
-    places = prevalence.join(deaths, "location_id")
+    # One row per place, read by every pass over the draws.
+    places = stage(prevalence.join(deaths, "location_id"), "place-parameters")
     ids = c.tables.order_places.select(
         F.col("o_orderkey").alias("draw_id"), (F.col("nation") + 2).alias("location_id")
     ).join(places, "location_id")
