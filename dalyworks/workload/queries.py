@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import codes
 from ..functions.joins import null_safe_join
 from ..functions.nulls import na_rm_sum, na_sum, ratio
-from ..operators import attribution, charts, compare, dimensions, draws, evidence, rollup, valuation
+from ..operators import attribution, charts, dimensions, draws, evidence, rollup, valuation
 from ..plans import burden, headlines, sensitivity, tables
 from ..plans.burden import Inputs
 from ..runtime import stage
