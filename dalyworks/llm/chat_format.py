@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dalyworks.llm.common import fresh
-
 
 @dataclass(frozen=True)
 class Template:
@@ -210,6 +208,3 @@ def with_probe(rows: DataFrame) -> DataFrame:
     slim = rows.select(*(F.col(c) for c in ("conv_id", "turn", "role", "text")))
     made = rows.sparkSession.createDataFrame(probe, "conv_id long, turn long, role string, text string")
     return slim.unionByName(made)
-
-
-__all__ = ["Template", "digests", "format_conversations", "fresh", "parse", "segments", "valid", "with_probe"]

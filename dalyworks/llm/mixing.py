@@ -45,18 +45,19 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
 def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each size to take for a sum as near ``budget``, from below, as can be.
 
-    A proportional share of each size is taken first, which keeps the mix of lengths; what is
-    left of the budget is filled from the largest size down until it is a few documents small,
-    and the remainder is a bounded knapsack: a bit set of reachable sums, with counts split
+    All but a few dozen documents' worth is taken first as a proportional share of each size,
+    which keeps the mix of lengths, and what that leaves over is filled from the largest size
+    down; the remainder is a bounded knapsack: a bit set of reachable sums, with counts split
     into powers of two, walked back from the best sum.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= total:
         return [c if s else 0 for s, c in zip(sizes, counts, strict=True)]
-    taken = [c * budget // total if s else 0 for s, c in zip(sizes, counts, strict=True)]
+    usable = [i for i, s in enumerate(sizes) if s and counts[i]]
+    slack = 48 * (total // max(1, sum(counts[i] for i in usable)) + 1)
+    sure = max(0, budget - slack)
+    taken = [c * sure // total if s else 0 for s, c in zip(sizes, counts, strict=True)]
     left = budget - sum(s * t for s, t in zip(sizes, taken, strict=True))
-    usable = [i for i, s in enumerate(sizes) if s]
-    slack = 4 * (sum(sizes[i] for i in usable) // len(usable) + 1) if usable else 0
     for i in sorted(usable, key=lambda i: -sizes[i]):
         if left <= slack:
             break
