@@ -103,13 +103,14 @@ def _bits(keys: DataFrame) -> np.ndarray:
 
 def _touched(keyed: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
     """Rows of ``keyed`` whose bucket is set in ``bits``, or those whose bucket is not."""
+    names = keyed.columns
     bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("id", "mark"), F.lit(BUCKETS)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
             there = (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(there == wanted)).select(keyed.columns)
+            yield batch.filter(pa.array(there == wanted)).select(names)
 
     return bucketed.mapInArrow(run, keyed.schema)
 

@@ -2,6 +2,68 @@
 
 from __future__ import annotations
 
+#: Bytes as hex digits, two each, so that a slice of bytes is a slice of text.
+EXACT_REPEATS = """
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT r, unnest(range(1, (length(x) // 2 - 398)::BIGINT)) AS p FROM docs WHERE length(x) >= 800),
+named AS (SELECT r, p, hash(substr(x, 2 * p - 1, 800)) AS k FROM starts JOIN docs USING (r)),
+twice AS (SELECT k FROM named GROUP BY k HAVING count(*) > 1),
+marked AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) > 400 AS apart FROM named SEMI JOIN twice USING (k)),
+run_of AS (SELECT r, p, count_if(apart) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+runs AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM run_of GROUP BY r, run),
+gaps AS (
+  SELECT r, s AS ending, coalesce(lag(e) OVER w, 1) AS kept_from, s AS kept_to FROM runs WINDOW w AS (PARTITION BY r ORDER BY s)
+  UNION ALL SELECT r, length(x) // 2 + 1, coalesce((SELECT max(e) FROM runs WHERE runs.r = docs.r), 1), length(x) // 2 + 1 FROM docs),
+kept AS (
+  SELECT r, string_agg(substr(x, (2 * kept_from - 1)::BIGINT, (2 * (kept_to - kept_from))::BIGINT), '' ORDER BY ending, kept_to) AS y
+  FROM gaps JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(y)) AS kept_sha256
+FROM docs JOIN kept USING (r) LEFT JOIN sums USING (r)"""
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+asked AS (SELECT DISTINCT item_id, length(part) AS n, array_to_string(part, ' ') AS phrase FROM (
+  SELECT item_id, unnest(list_transform(range(1, greatest(length(w) - 8, 2)), lambda i: w[i : i + 9])) AS part
+  FROM items WHERE length(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM asked),
+places AS (SELECT r, n, unnest(range(1, (length(w) - n + 2)::BIGINT)) AS p FROM docs, sizes WHERE length(w) >= n),
+found AS (SELECT r, p, n, item_id FROM (
+  SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM places JOIN docs USING (r)) JOIN asked USING (n, phrase)),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS place FROM (SELECT DISTINCT r, p, n FROM found)) GROUP BY r),
+by_item AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+  FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, length(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN by_item USING (r)"""
+
+_MARKS = r"\\|<turn>|</turn>|### User:|### Assistant:|### System:"
+
+
+def _escaped(text: str) -> str:
+    return f"(length({text}) + length(regexp_extract_all({text}, '{_MARKS}')))"
+
+
+#: A turn is written as <turn>, its role, a newline, its text, </turn> and a newline.
+CHAT_FORMAT = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+         sum(6 + {_escaped('role')} + length(role) - length(replace(role, chr(10), '')) + 1 + {_escaped('text')} + 8)::BIGINT AS formatted_chars,
+         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
+                    ORDER BY turn NULLS FIRST, role, text) AS roles
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,
+       formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid FROM whole"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT}

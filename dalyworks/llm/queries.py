@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dalyworks.llm import chat_format, line_quality, mixing, near_copies, phrase_index, scaled_sketch, secret_scan, training_order
+from dalyworks.llm import (
+    attention_lm,
+    chat_format,
+    exact_repeats,
+    line_quality,
+    mixing,
+    near_copies,
+    phrase_index,
+    scaled_sketch,
+    secret_scan,
+    training_order,
+)
 from dalyworks.llm.common import table
 
 
@@ -18,6 +29,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +41,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
