@@ -8,7 +8,7 @@ WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(
 starts AS (SELECT r, unnest(range(1, (length(x) // 2 - 398)::BIGINT)) AS p FROM docs WHERE length(x) >= 800),
 named AS (SELECT r, p, hash(substr(x, 2 * p - 1, 800)) AS k FROM starts JOIN docs USING (r)),
 twice AS (SELECT k FROM named GROUP BY k HAVING count(*) > 1),
-marked AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) > 400 AS apart FROM named SEMI JOIN twice USING (k)),
+marked AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 400, false) AS apart FROM named SEMI JOIN twice USING (k)),
 run_of AS (SELECT r, p, count_if(apart) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
 runs AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM run_of GROUP BY r, run),
 gaps AS (
