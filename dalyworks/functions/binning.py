@@ -22,13 +22,13 @@ def significant(x: Column, digits: int) -> Column:
     """Text of ``x`` to ``digits`` significant digits, without trailing zeros."""
     places = F.lit(digits - 1) - F.floor(F.log10(x))
     scale = F.pow(F.lit(10.0), places)
-    text = (F.rint(x * scale) / scale).cast("decimal(20,6)").cast("string")
+    text = (F.rint(x * scale) / scale).cast("decimal(38,16)").cast("string")
     return F.regexp_replace(text, r"\.?0+$", "")
 
 
 def break_label(x: Column, fixed: Sequence[float]) -> Column:
     """Label of a data-dependent break: three significant digits, or as many
-    more (to six) as it takes to differ from the fixed breaks."""
+    more (to twelve) as it takes to differ from the fixed breaks."""
     taken = [f"{b:g}" for b in fixed]
-    options = [significant(x, d) for d in range(3, 7)]
+    options = [significant(x, d) for d in range(3, 13)]
     return F.coalesce(*[F.when(~o.isin(taken), o) for o in options], options[-1])

@@ -14,10 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import codes
-from ..functions.joins import null_safe_join
 from ..functions.nulls import if_else, na_sum, ratio, zero_if_na
 from ..functions.reshape import inline_rows, literal_table, lookup
-from ..runtime import stage
 
 _MEASURED = ("metric_id", "metric_name", *codes.BOUNDS)
 
@@ -230,11 +228,12 @@ def estimates(combined: DataFrame) -> DataFrame:
 
 
 def group_totals(df: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """Keep every row and add NULL-propagating sums over its group.
+    """Keep every row and add NULL-propagating sums over its group, in one pass.
 
-    The sums are aggregated first, staged, and joined back: a group that holds a
-    large part of the rows is never gathered in one task, and the planner knows
-    whether the totals are small enough to broadcast.
+    For groups that are small by nature, such as the causes of one place, measure,
+    bound and slice.
     """
-    totals = df.groupBy(*keys).agg(*[na_sum(c).alias(n) for n, c in sums.items()])
-    return null_safe_join(df, stage(totals, "totals"), keys)
+    group = Window.partitionBy(*keys)
+    return df.withColumns(
+        {n: F.when(F.count(c).over(group) == F.count(F.lit(1)).over(group), F.sum(c).over(group)) for n, c in sums.items()}
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import codes
 from ..functions.binning import bin_index, break_label
+from ..functions.joins import null_safe_join
 from ..functions.nulls import clamp, ratio
 from ..functions.reshape import inline_rows, lookup, position
 
@@ -63,28 +64,34 @@ def pct_gdp(mapped: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFram
     return _labelled(long.withColumn("clamped", clamp("value", *codes.PCT_GDP_LIMITS)))
 
 
-def _placed(rolled: DataFrame, region: DataFrame) -> DataFrame:
-    """Region rows repeated for every member place, for polygon fills."""
-    members = region.select("iso_code", *codes.SCHEMES).unpivot(
-        ["iso_code"], list(codes.SCHEMES), "scheme", "region"
-    )
-    return _points(rolled).join(members.distinct(), ["scheme", "region"])
+REGION_IDS = ("scheme", "region")
+MAP_IDS = ("iso_code", "gu_a3", "on_map", "location_id")
 
 
-REGION_IDS = ("scheme", "region")
+def _placed(mapped: DataFrame, results: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """Map rows with the results of their region, once per scheme.
 
+    ``mapped`` is a map-joined country table with region names: only places with
+    burden are on it, and those without a region share one group. ``results`` are
+    the regions' rows, few enough to be sent to the map rows.
+    """
+    keys = [*REGION_IDS, *POINT_KEYS, "paf_formula", *slices]
+    belongs = [F.struct(F.lit(s).alias("scheme"), F.col(s).alias("region")) for s in codes.SCHEMES]
+    places = mapped.select(*MAP_IDS, *POINT_KEYS, "paf_formula", *slices, F.inline(F.array(*belongs)))
+    return null_safe_join(places, _points(results), keys, "inner")
 
-def region_choropleth(rolled: DataFrame, region: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
-    """Regional rates and percents as fill values of the member places."""
-    ids = [*REGION_IDS, "iso_code", *POINT_KEYS, *slices]
-    return _labelled(_metric_rows(_placed(rolled, region), ids, RATE_METRICS))
 
+def region_choropleth(mapped: DataFrame, results: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+    """Regional rates and percents as fill values of the places on the map."""
+    ids = [*REGION_IDS, *MAP_IDS, *POINT_KEYS, *slices]
+    return _labelled(_metric_rows(_placed(mapped, results, slices), ids, RATE_METRICS))
 
-def region_pct_gdp(rolled: DataFrame, region: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+
+def region_pct_gdp(mapped: DataFrame, results: DataFrame, slices: Sequence[str] = codes.SLICES) -> DataFrame:
     """Regional costs as percent of regional GDP, raw and limited."""
-    dalys = _placed(rolled, region).filter(F.col("measure_id") == codes.DALYS)
-    ids = [*REGION_IDS, "iso_code", *POINT_KEYS, *slices]
-    long = _metric_rows(dalys, ids, codes.CHART_COSTS, F.col("gdp"))
+    dalys = mapped.filter(F.col("measure_id") == codes.DALYS)
+    ids = [*REGION_IDS, *MAP_IDS, *POINT_KEYS, *slices]
+    long = _metric_rows(_placed(dalys, results, slices), ids, codes.CHART_COSTS, F.col("gdp"))
     return _labelled(long.withColumn("clamped", clamp("value", *codes.PCT_GDP_LIMITS)))
 
 

@@ -22,8 +22,16 @@ def enrich(df: DataFrame, crosswalk: DataFrame, income: DataFrame) -> DataFrame:
 
 def region_full_join(df: DataFrame, region: DataFrame) -> DataFrame:
     """Full outer join to the regions: places without a region and regions'
-    places without burden both stay."""
-    return null_safe_join(df, region.select("iso_code", *codes.SCHEMES), "iso_code", "full")
+    places without burden both stay.
+
+    The burden side keeps its partitions: it is joined to the small region table
+    from the left, and the region rows that no burden matches are added. A full
+    outer join would bring all places without a code into one task.
+    """
+    named = region.select("iso_code", *codes.SCHEMES)
+    seen = df.select(F.col("iso_code").alias("__seen")).distinct()
+    alone = named.join(seen, named["iso_code"].eqNullSafe(F.col("__seen")), "left_anti")
+    return null_safe_join(df, named, "iso_code").unionByName(alone, allowMissingColumns=True)
 
 
 def map_join(boundary: DataFrame, df: DataFrame) -> DataFrame:

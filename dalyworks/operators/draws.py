@@ -64,28 +64,28 @@ def published_intervals(ids: DataFrame, seed: int = codes.DRAW_SEED, prevalence=
     ).drop("u1", "u2", "u3", "u4")
 
 
-def risk_grid(ids: DataFrame, seed: int = codes.DRAW_SEED) -> DataFrame:
-    """Scenario 2: uniform prevalence, relative risk from a grid."""
+def risk_grid(ids: DataFrame, seed: int = codes.DRAW_SEED, deaths=None) -> DataFrame:
+    """Scenario 2: uniform prevalence, relative risk from a grid; ``deaths`` as in scenario 1."""
     z3, _ = normal_pair("u3", "u4")
     return with_uniforms(ids, seed=seed).withColumns(
         {
             "prevalence": uniform("u1", *codes.PREVALENCE_RANGE),
             "relative_risk": pick("u2", codes.RISK_GRID),
-            "deaths": from_interval(z3, *codes.DEATHS_CI),
+            "deaths": from_interval(z3, *(deaths or codes.DEATHS_CI)),
         }
     ).drop("u1", "u2", "u3", "u4")
 
 
-def wide_risk(ids: DataFrame, seed: int = codes.DRAW_SEED) -> DataFrame:
+def wide_risk(ids: DataFrame, seed: int = codes.DRAW_SEED, deaths=None) -> DataFrame:
     """Scenario 3: wide normal prevalence, uniform relative risk around the
-    pooled estimate."""
+    pooled estimate; ``deaths`` as in scenario 1."""
     z1, z2 = normal_pair("u1", "u2")
     mean, sd = codes.WIDE_PREVALENCE
     return with_uniforms(ids, seed=seed).withColumns(
         {
             "prevalence": F.lit(mean) + z1 * sd,
             "relative_risk": uniform("u3", *codes.RISK_RANGE),
-            "deaths": from_interval(z2, *codes.DEATHS_CI),
+            "deaths": from_interval(z2, *(deaths or codes.DEATHS_CI)),
         }
     ).drop("u1", "u2", "u3", "u4")
 

@@ -32,17 +32,19 @@ def grouped_quantiles(
     """One row per group with the named quantiles, interpolated between ranks.
 
     ``moments`` are further aggregates of ``value``, computed in the same pass as
-    the sketch. NULL values are ignored. The input is read three times: for the
-    sketch, the segment counts, and the few rows around each quantile. The first
-    two passes run when this function is called.
+    the sketch. NULL values are ignored; a group of NULL values alone has a row
+    without quantiles. The keys and values are staged once, since they are read three
+    times: for the sketch, the segment counts, and the few rows around each quantile.
+    The first two passes run when this function is called.
     """
     keys, moments = list(keys), dict(moments or {})
-    data = df.select(*keys, value).filter(F.col(value).isNotNull())
+    every = stage(df.select(*keys, value), "values")
+    data = every.filter(F.col(value).isNotNull())
     slack = 2.0 / accuracy
     cuts = sorted({min(max(p + s, 0.0), 1.0) for p in quantiles.values() for s in (-slack, slack)})
-    sketch = data.groupBy(*keys).agg(
+    sketch = every.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, accuracy).alias("__cuts"),
-        F.count(F.lit(1)).alias("__n"),
+        F.count(value).alias("__n"),
         *[m.alias(name) for name, m in moments.items()],
     )
     sketch = stage(sketch, "sketch")
@@ -86,6 +88,8 @@ def grouped_quantiles(
         .select(*keys, *moments, value, "__last", "__count", F.inline("__wanted"))
         .filter("rank < __last AND rank >= __last - __count")
     )
-    return found.groupBy(*keys, *moments).agg(
+    known = found.groupBy(*keys, *moments).agg(
         *[F.sum(F.when(F.col("name") == n, F.col(value) * F.col("share"))).alias(n) for n in quantiles]
     )
+    unknown = sketch.filter("__n = 0").select(*keys, *moments, *[F.lit(None).cast("double").alias(n) for n in quantiles])
+    return known.unionByName(unknown)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from .. import codes
 from ..operators import attribution, compare, dimensions, rollup, valuation
+from ..runtime import stage
 from ..sources import readers
 
 REGION_KEYS = ("scheme", "region", "measure_id", "numeric_name", "paf_formula", *codes.SLICES)
@@ -67,8 +68,11 @@ def national_diff(inputs: Inputs) -> DataFrame:
 
 
 def regional(inputs: Inputs) -> DataFrame:
-    """Valued country rows with their regions; region-only places included."""
-    return dimensions.region_full_join(valued(inputs), inputs.region)
+    """Valued country rows with their regions; region-only places included.
+
+    The country table is staged: it is read for its rows and for its codes.
+    """
+    return dimensions.region_full_join(stage(valued(inputs), "valued"), inputs.region)
 
 
 def region_results(inputs: Inputs, schemes: Sequence[str] = codes.SCHEMES) -> DataFrame:
@@ -87,5 +91,5 @@ def levels(inputs: Inputs) -> DataFrame:
 
 def burden_levels(inputs: Inputs) -> DataFrame:
     """The same levels without money: no GDP source is read."""
-    regions = dimensions.region_full_join(located(inputs), inputs.region)
+    regions = dimensions.region_full_join(stage(located(inputs), "located"), inputs.region)
     return rollup.level_rollup(regions, costs=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +16,28 @@ TABLE1_METRICS = ("number", "percent")
 TABLE1_COLUMNS = tuple(f"{b}_{m}_{e}" for e in TABLE_ESTIMATES for m in TABLE1_METRICS for b in BOUND_ORDER)
 TABLE2_COLUMNS = tuple(f"{b}_{e}" for e in TABLE_ESTIMATES for b in BOUND_ORDER)
 PLACE_ORDER = ("section", "place_rank", "location_name")
+# Order of the rows within a slice; every slice is a table of its own.
 TABLE1_ORDER = ("measure_name", *PLACE_ORDER)
 TABLE2_ORDER = ("name", *PLACE_ORDER)
 MILLION = 1e6
 TRILLION = 1e12
 
 
+def _only(name: str, table: str) -> Column:
+    """The one value of a cell; two that differ are an error, not a choice."""
+    clash = f"raise_error('two values for one cell of {table}')"
+    return F.expr(f"CASE WHEN min(`{name}`) <=> max(`{name}`) THEN max(`{name}`) ELSE {clash} END")
+
+
 def _strip(amount: Column) -> Column:
     """Two-decimal text without trailing zeros."""
     return F.regexp_replace(amount.cast("decimal(30,2)").cast("string"), r"\.?0+$", "")
 
 
-def table1_long(levels: DataFrame, unit: float = MILLION) -> DataFrame:
-    """Burden per measure, place, bound and estimate: number and percent."""
-    ids = ["measure_name", F.col("place").alias("location_name"), "section", "place_rank", "numeric_name", "estimate"]
+def table1_long(levels: DataFrame, unit: float = MILLION, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+    """Burden per slice, measure, place, bound and estimate: number and percent."""
+    place = F.col("place").alias("location_name")
+    ids = [*slices, "measure_name", place, "section", "place_rank", "numeric_name", "estimate"]
     rows = [
         {"metric": F.lit("number"), "point": F.bround(F.col("number") / unit, 1)},
         {"metric": F.lit("percent"), "point": F.bround("percent", 1)},
@@ -35,23 +45,23 @@ def table1_long(levels: DataFrame, unit: float = MILLION) -> DataFrame:
     return inline_rows(levels, ids, rows)
 
 
-def table1(levels: DataFrame, unit: float = MILLION) -> DataFrame:
-    """One row per measure and place, bounds x metrics x estimates across."""
+def table1(levels: DataFrame, unit: float = MILLION, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+    """One row per slice, measure and place, bounds x metrics x estimates across."""
     key = F.concat_ws("_", "numeric_name", "metric", "estimate")
-    long = table1_long(levels, unit).withColumn("key", key)
+    long = table1_long(levels, unit, slices).withColumn("key", key)
     return (
-        long.groupBy("measure_name", *PLACE_ORDER)
+        long.groupBy(*slices, "measure_name", *PLACE_ORDER)
         .pivot("key", list(TABLE1_COLUMNS))
-        .agg(F.first("point"))
-        .select("measure_name", "location_name", "section", "place_rank", *[F.col(f"`{c}`") for c in TABLE1_COLUMNS])
+        .agg(_only("point", "table 1"))
+        .select(*slices, "measure_name", "location_name", "section", "place_rank", *[F.col(f"`{c}`") for c in TABLE1_COLUMNS])
     )
 
 
-def table2_long(levels: DataFrame, unit: float = TRILLION) -> DataFrame:
-    """Value per valuation, place, bound and estimate, with display ranks."""
+def table2_long(levels: DataFrame, unit: float = TRILLION, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+    """Value per slice, valuation, place, bound and estimate, with display ranks."""
     dalys = levels.filter(F.col("measure_id") == codes.DALYS)
     ids = [
-        F.col("place").alias("location_name"), "section", "place_rank", "numeric_name", "estimate",
+        *slices, F.col("place").alias("location_name"), "section", "place_rank", "numeric_name", "estimate",
         position("numeric_name", BOUND_ORDER).alias("bound_rank"),
         position("estimate", TABLE_ESTIMATES).alias("estimate_rank"),
     ]
@@ -59,19 +69,19 @@ def table2_long(levels: DataFrame, unit: float = TRILLION) -> DataFrame:
     return inline_rows(dalys, ids, rows)
 
 
-def table2(levels: DataFrame, unit: float = TRILLION) -> DataFrame:
-    """One row per valuation and place, bounds x estimates across."""
-    long = table2_long(levels, unit).withColumn("key", F.concat_ws("_", "numeric_name", "estimate"))
+def table2(levels: DataFrame, unit: float = TRILLION, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+    """One row per slice, valuation and place, bounds x estimates across."""
+    long = table2_long(levels, unit, slices).withColumn("key", F.concat_ws("_", "numeric_name", "estimate"))
     return (
-        long.groupBy("name", *PLACE_ORDER)
+        long.groupBy(*slices, "name", *PLACE_ORDER)
         .pivot("key", list(TABLE2_COLUMNS))
-        .agg(F.first("value"))
-        .select("name", "location_name", "section", "place_rank", *[F.col(f"`{c}`") for c in TABLE2_COLUMNS])
+        .agg(_only("value", "table 2"))
+        .select(*slices, "name", "location_name", "section", "place_rank", *[F.col(f"`{c}`") for c in TABLE2_COLUMNS])
     )
 
 
-def table_appendix(world: DataFrame, unit: float = TRILLION) -> DataFrame:
-    """World values transposed: one column per estimate and bound, all text.
+def table_appendix(world: DataFrame, unit: float = TRILLION, slices: Sequence[str] = codes.SLICES) -> DataFrame:
+    """World values of each slice transposed: one column per estimate and bound, all text.
 
     ``world`` holds the world's valued rows.
     """
@@ -89,6 +99,6 @@ def table_appendix(world: DataFrame, unit: float = TRILLION) -> DataFrame:
             for i, c in enumerate(codes.APPENDIX_COSTS, 3)
         ],
     ]
-    long = inline_rows(picked, ["column"], rows)
+    long = inline_rows(picked, [*slices, "column"], rows)
     columns = list(range(1, len(order) + 1))
-    return long.groupBy("row_order", "field").pivot("column", columns).agg(F.first("text"))
+    return long.groupBy(*slices, "row_order", "field").pivot("column", columns).agg(_only("text", "the appendix"))

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    A local session without one gets a temporary folder; a cluster session
-    without one is an error, because executors could not all see it.
-    """
+def checkpoint_root(spark: SparkSession) -> str | None:
+    """The shared folder the session names in ``spark.checkpoint.dir``, if it names one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="dalyworks-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return root.rstrip("/") if root else None
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, or else in the warehouse, which is shared too."""
+    root = checkpoint_root(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = f"{root}/dalyworks/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -29,8 +31,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage: what follows neither recomputes ``df`` nor depends on
     the executors that made it, and the planner knows the table's true size.
+    Where the session names no shared folder the table is left as it is: the
+    result is the same, computed anew wherever it is used.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/dalyworks/{label}-{uuid.uuid4().hex}"
+    if not checkpoint_root(df.sparkSession):
+        return df
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what was staged inside; results must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,9 +2,11 @@
 
 Line items play the part of burden records: the customer's nation is the
 place, the part type decides the causes, and quantities and prices give the
-measures with their uncertainty bounds. One pass over the line items yields a
-few hundred cells (nation x part type x size class x status); every input table
-of the analysis follows from these cells and the dimension tables.
+measures with their uncertainty bounds. The shipping year and a class of the
+customer give the slices (year, sex). One pass over the line items yields the
+cells (nation x sex x year x part type x size class x status), a number that does
+not grow with the data; every input table of the analysis follows from these
+cells and the dimension tables.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ CAUSE_NAMES = {
     718: "Self-harm",
 }
 PEOPLE_PER_CUSTOMER = 10_000.0
+SEX_NAMES = {1: "Male", 2: "Female"}
+# Slices the extract has; age is one class.
+SLICES = ("sex_id", "year")
+SEX = "CAST(1 + c_custkey % 2 AS INT) AS sex_id"
 SOUTH_SUDAN_NATION = 5
 UNMAPPED_NATION = 24
 
@@ -59,8 +65,8 @@ def _with_world(nation: str, *keep: str):
 # Columns of the source tables that are read; the rest is never touched.
 SCHEMAS = {
     "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double,"
-    " l_extendedprice double, l_discount double, l_tax double, l_linestatus string",
-    "orders": "o_orderkey long, o_custkey long, o_totalprice double",
+    " l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate date",
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date",
     "customer": "c_custkey long, c_nationkey int",
     "part": "p_partkey long, p_type string, p_size int",
     "supplier": "s_suppkey long, s_nationkey int, s_acctbal double",
@@ -75,18 +81,22 @@ class OrderTables:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        """The columns of ``SCHEMAS``, by name; the scan reads no others."""
+        columns = [c.split() for c in SCHEMAS[name].split(",")]
+        stored = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return stored.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns])
 
     @cached_property
     def order_places(self) -> DataFrame:
-        """(o_orderkey, nation) of every order."""
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
-        customers = self.table("customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-        return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "nation")
+        """(o_orderkey, o_totalprice, nation, sex_id, year) of every order."""
+        orders = self.table("orders").selectExpr("o_orderkey", "o_custkey", "o_totalprice", "year(o_orderdate) AS year")
+        customers = self.table("customer").selectExpr("c_custkey", "c_nationkey AS nation", SEX)
+        joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        return joined.select("o_orderkey", "o_totalprice", "nation", "sex_id", "year")
 
     @property
     def cell_query(self) -> DataFrame:
-        """Exact sums per nation, part type, size class and line status."""
+        """Exact sums per nation, slice, part type, size class and line status."""
         part = self.table("part").select("p_partkey", "p_type", (F.col("p_size") <= 10).alias("small"))
         line = self.table("lineitem")
         amounts = {"q": "l_quantity", "p": "l_extendedprice", "n": "CAST(l_linenumber = 1 AS DOUBLE)"}
@@ -98,8 +108,11 @@ class OrderTables:
         ]
         return (
             line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.order_places, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("nation", "p_type", "small", F.col("l_linestatus").alias("status"))
+            .join(self.order_places.select("o_orderkey", "nation", "sex_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy(
+                "nation", "sex_id", F.year("l_shipdate").alias("year"), "p_type", "small",
+                F.col("l_linestatus").alias("status"),
+            )
             .agg(*sums, F.count(F.lit(1)).alias("lines"))
         )
 
@@ -109,11 +122,12 @@ class OrderTables:
 
     @cached_property
     def population(self) -> DataFrame:
-        """(location_id, people); the world is the sum of the nations."""
-        per_nation = self.table("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+        """(location_id, sex_id, people); the world is the sum of the nations."""
+        customers = self.table("customer").selectExpr("c_nationkey", SEX)
+        per_nation = customers.groupBy("c_nationkey", "sex_id").agg(F.count(F.lit(1)).alias("customers"))
         return (
-            per_nation.select(*_with_world("c_nationkey", "customers"))
-            .groupBy("location_id")
+            per_nation.select(*_with_world("c_nationkey", "sex_id", "customers"))
+            .groupBy("location_id", "sex_id")
             .agg((F.sum("customers") * PEOPLE_PER_CUSTOMER).alias("people"))
         )
 
@@ -157,12 +171,12 @@ class OrderTables:
         )
         stems = [f"{s}_{b}" for s in "qpn" for b in codes.BOUNDS]
         expanded = (
-            self.cells.select(*_with_world("nation", "p_type", "small", "status", *stems))
+            self.cells.select(*_with_world("nation", *SLICES, "p_type", "small", "status", *stems))
             .selectExpr("*", f"explode(concat(CASE p_type {causes} END, {extra})) AS cause_id")
-            .selectExpr("location_id", "cause_id", f"inline(array_compact(array({measures})))")
+            .selectExpr("location_id", *SLICES, "cause_id", f"inline(array_compact(array({measures})))")
         )
         sums = [F.sum(b).cast("double").alias(b) for b in codes.BOUNDS]
-        totals = expanded.groupBy("location_id", "measure_id", "cause_id", "scale").agg(*sums)
+        totals = expanded.groupBy("location_id", *SLICES, "measure_id", "cause_id", "scale").agg(*sums)
         return totals.withColumns({b: F.col(b) / F.col("scale") for b in codes.BOUNDS}).drop("scale")
 
     @cached_property
@@ -170,12 +184,12 @@ class OrderTables:
         """Burden extract: three metrics per number, location 2 repeated."""
         totals = [
             f"max(CASE WHEN cause_id = {codes.ALL_CAUSES} THEN {b} END)"
-            f" OVER (PARTITION BY location_id, measure_id) AS all_{b}"
+            f" OVER (PARTITION BY location_id, {', '.join(SLICES)}, measure_id) AS all_{b}"
             for b in codes.BOUNDS
         ]
         named = (
             self.numbers.selectExpr("*", *totals)
-            .join(self.population, "location_id")
+            .join(self.population, ["location_id", "sex_id"])
             .join(self.places.select("location_id", "location_name"), "location_id")
         )
         value = {
@@ -184,7 +198,7 @@ class OrderTables:
             codes.RATE: "{b} / people * 1e5D",
         }
         metrics = ", ".join(
-            f"named_struct('metric_id', {m}, 'metric_name', '{codes.METRIC_NAMES[m]}', 'year', 2019, "
+            f"named_struct('metric_id', {m}, 'metric_name', '{codes.METRIC_NAMES[m]}', "
             + ", ".join(f"'{b}', {text.format(b=b)}" for b in codes.BOUNDS)
             + ")"
             for m, text in value.items()
@@ -195,20 +209,21 @@ class OrderTables:
             lookup("measure_id", codes.MEASURE_NAMES).alias("measure_name"),
             "location_id",
             "location_name",
-            F.expr("3 AS sex_id"),
-            F.expr("'Both' AS sex_name"),
+            "sex_id",
+            lookup("sex_id", SEX_NAMES).alias("sex_name"),
             F.expr("22 AS age_id"),
             F.expr("'All ages' AS age_name"),
             "cause_id",
             lookup("cause_id", CAUSE_NAMES).alias("cause_name"),
+            "year",
             F.expr(f"inline(array({metrics}))"),
         )
 
     @cached_property
     def gbd_prev(self) -> DataFrame:
         """Prevalence extract: mental disorders, and one cause to be left out."""
-        quantity = self.cells.select(*_with_world("nation", "p_type", "q_val"))
-        share = quantity.groupBy("location_id").agg(
+        quantity = self.cells.select(*_with_world("nation", *SLICES, "p_type", "q_val"))
+        share = quantity.groupBy("location_id", *SLICES).agg(
             F.sum(F.when(F.col("p_type") == "STANDARD", F.col("q_val"))).cast("double").alias("standard"),
             F.sum("q_val").cast("double").alias("total"),
         )
@@ -216,9 +231,9 @@ class OrderTables:
         return share.select(
             F.lit(codes.PREVALENCE).alias("measure_id"),
             "location_id",
-            F.lit(3).alias("sex_id"),
+            "sex_id",
             F.lit(22).alias("age_id"),
-            F.lit(2019).alias("year"),
+            "year",
             F.explode(F.array(F.lit(codes.MENTAL), F.lit(543))).alias("cause_id"),
             fraction.alias("val"),
             (fraction * 1.1).alias("upper"),
@@ -227,21 +242,27 @@ class OrderTables:
 
     @cached_property
     def income(self) -> DataFrame:
-        levels = F.element_at(
-            F.array(*[F.lit(c) for c in codes.INCOME_LEVELS]), (F.floor(F.col("n_nationkey") / 5) + 1).cast("int")
-        )
-        mapped = self.table("nation").filter(F.col("n_nationkey") < 20)
+        """The last five nations have a row without a level."""
+        levels = F.get(F.array(*[F.lit(c) for c in codes.INCOME_LEVELS]), F.floor(F.col("n_nationkey") / 5).cast("int"))
         blank = literal_table(self.spark, "iso_code string, income_level string", [(None, None), (None, None)])
-        return mapped.select(_iso("n_nationkey").alias("iso_code"), levels.alias("income_level")).unionByName(
-            blank
-        )
+        nations = self.table("nation").select(_iso("n_nationkey").alias("iso_code"), levels.alias("income_level"))
+        return nations.unionByName(blank)
 
     @staticmethod
-    def _wide(per_nation: DataFrame, scale: float) -> DataFrame:
-        """Yearly indicator table with a world row; only 2019 is real."""
-        codes_of_row = F.explode(F.array(_iso("nation"), F.lit(codes.WORLD_ISO))).alias("iso_code")
-        totals = per_nation.select(codes_of_row, "amount").groupBy("iso_code").agg(F.sum("amount").alias("amount"))
-        value = F.col("amount").cast("double") * scale
+    def _wide(per_nation: DataFrame, scale: float, unknown: str = "false") -> DataFrame:
+        """Yearly indicator table with a world row; only 2019 is real.
+
+        A nation for which ``unknown`` holds has a row without values; the world's
+        total has it all the same.
+        """
+        row = F.inline(
+            F.array(
+                F.struct(_iso("nation").alias("iso_code"), F.expr(unknown).alias("unknown")),
+                F.struct(F.lit(codes.WORLD_ISO).alias("iso_code"), F.lit(False).alias("unknown")),
+            )
+        )
+        totals = per_nation.select("amount", row).groupBy("iso_code", "unknown").agg(F.sum("amount").alias("amount"))
+        value = F.when(~F.col("unknown"), F.col("amount").cast("double") * scale)
         return totals.select(
             F.concat(F.lit("Place "), "iso_code").alias("country_name"),
             "iso_code",
@@ -254,32 +275,25 @@ class OrderTables:
     def gdp_wide(self) -> DataFrame:
         per_nation = (
             self.table("supplier")
-            .filter(F.col("s_nationkey") % 7 != 3)
             .groupBy(F.col("s_nationkey").alias("nation"))
             .agg(exact_sum("abs(s_acctbal)").alias("amount"))
         )
-        return self._wide(per_nation, 1000.0)
+        return self._wide(per_nation, 1000.0, "nation % 7 = 3")
 
     @cached_property
     def gdp_ppp_wide(self) -> DataFrame:
-        orders = self.table("orders").select("o_custkey", "o_totalprice")
-        customers = self.table("customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-        per_nation = (
-            orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy("nation")
-            .agg(exact_sum("o_totalprice").alias("amount"))
-        )
+        per_nation = self.order_places.groupBy("nation").agg(exact_sum("o_totalprice").alias("amount"))
         return self._wide(per_nation, 1.0)
 
     @cached_property
     def region(self) -> DataFrame:
-        nation = self.table("nation").filter(F.col("n_nationkey") != UNMAPPED_NATION)
-        mapped = nation.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        """One nation has a row without regions; one place has regions but no burden."""
+        known = F.col("n_nationkey") != UNMAPPED_NATION
+        part = F.concat("r_name", F.lit("-"), (F.floor(F.col("n_nationkey") / 5) % 2).cast("string"))
+        mapped = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
             _iso("n_nationkey").alias("iso_code"),
-            F.col("r_name").alias("who_region"),
-            F.concat("r_name", F.lit("-"), (F.floor(F.col("n_nationkey") / 5) % 2).cast("string")).alias(
-                "ihme_region"
-            ),
+            F.when(known, F.col("r_name")).alias("who_region"),
+            F.when(known, part).alias("ihme_region"),
         )
         extra = literal_table(
             self.spark,

@@ -1,7 +1,9 @@
 """Scans of the inputs from CSV or Parquet.
 
-Schemas are declared, never inferred; Parquet is preferred for the fact
-tables, where column pruning and filters reach the scan.
+Schemas are declared, never inferred. Columns are found by name, wherever they
+stand. In CSV text, ``NA`` and nothing mean a missing value; anything else that is
+not of the declared type is an error, as is a missing column. Parquet is preferred
+for the fact tables, where column pruning and filters reach the scan.
 """
 
 from __future__ import annotations
@@ -14,11 +16,22 @@ from .. import codes
 from . import schemas
 
 
+MISSING = "NA"
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header, every column as text."""
+    options = {"header": True, "nullValue": MISSING, "escape": '"', "mode": "FAILFAST"}
+    return spark.read.options(**options).csv(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        return reader.option("header", True).option("enforceSchema", True).csv(path)
-    return reader.format(fmt).load(path)
+    """The columns of ``schema``, by name; further columns are left out."""
+    stored = read_text(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    absent = [f.name for f in schema if f.name not in stored.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}; it has {', '.join(stored.columns)}")
+    return stored.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_gbd(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -30,6 +43,11 @@ def read_crosswalk(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return read_table(spark, path, schemas.CROSSWALK, fmt)
 
 
+def read_income(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Income levels of one year; ``income_levels`` takes them from a history."""
+    return read_table(spark, path, schemas.INCOME, fmt)
+
+
 def read_region(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_table(spark, path, schemas.REGION, fmt)
 
@@ -41,14 +59,13 @@ def read_boundary(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 def read_inputs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Evidence counts by region; the unnamed trailing column is dropped."""
-    df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INPUTS])
+    return read_table(spark, path, schemas.INPUTS, fmt)
 
 
 def read_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Indicator table with one column per year, as text when read from CSV."""
     if fmt == "csv":
-        return spark.read.option("header", True).csv(path)
+        return read_text(spark, path)
     return spark.read.format(fmt).load(path)
 
 

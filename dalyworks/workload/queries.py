@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .. import codes
 from ..functions.joins import null_safe_join
 from ..functions.nulls import na_rm_sum, na_sum, ratio
-from ..operators import attribution, charts, dimensions, draws, evidence, rollup, valuation
-from ..plans import burden, headlines, sensitivity, tables
+from ..functions.reshape import column_range
+from ..operators import attribution, charts, compare, dimensions, draws, evidence, rollup, valuation
+from ..plans import burden, headlines, report, sensitivity, tables
 from ..plans.burden import Inputs
-from ..runtime import stage
+from ..runtime import shared_path, stage
 from ..sources import readers
 from ..sources.order_tables import OrderTables
 from ..sources.sinks import with_row_index
@@ -23,6 +24,8 @@ from ..sources.sinks import with_row_index
 # tables are made in smaller units; the rounding digits are the published ones.
 NUMBER_UNIT = 1e2
 COST_UNIT = 1e6
+# Slices that vary in the extract; age is one class there.
+SLICES = ("sex_id", "year")
 WHO_ORDER = ("AFRICA", "AMERICA", "ASIA", "EUROPE")
 IHME_ORDER = tuple(f"{r}-{i}" for r in WHO_ORDER for i in (1, 0))
 
@@ -105,13 +108,13 @@ def query(fn: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
 @query
 def unpivot_bounds(c):
     long = attribution.unpivot_bounds(c.tables.gbd)
-    return rounded(long.select("measure_id", "location_id", "cause_id", "metric_id", "numeric_name", "est"))
+    return rounded(long.select("measure_id", "location_id", *SLICES, "cause_id", "metric_id", "numeric_name", "est"))
 
 
 @query
 def enrich_dims(c):
     facts = dimensions.enrich(c.tables.gbd, c.tables.crosswalk, c.tables.income).distinct()
-    cols = ["measure_id", "location_id", "location_name", "cause_id", "metric_id", "iso_code", "income_level"]
+    cols = ["measure_id", "location_id", *SLICES, "location_name", "cause_id", "metric_id", "iso_code", "income_level"]
     return rounded(facts.select(*cols, "val", "upper", "lower"), {"val": 6, "upper": 6, "lower": 6})
 
 
@@ -129,8 +132,8 @@ def iso_repair(c):
     """Every customer's polygon, counted per repaired code."""
     iso = readers.repair_iso(c.tables.boundary)
     people = c.tables.population.join(c.tables.crosswalk.select("location_id", "iso_code"), "location_id")
-    return null_safe_join(iso, people.select("iso_code", "people"), "iso_code").select(
-        "gu_a3", "adm0_a3", "iso_code", "people"
+    return null_safe_join(iso, people.select("iso_code", "sex_id", "people"), "iso_code").select(
+        "gu_a3", "adm0_a3", "iso_code", "sex_id", "people"
     )
 
 
@@ -145,7 +148,7 @@ def world_gdp_override(c):
         c.tables.crosswalk.select("location_id", "iso_code"), "location_id"
     )
     located = valuation.with_gdp(people, c.gdp, c.gdp_ppp)
-    return rounded(located.select("location_id", "iso_code", "gdp", "gdp_ppp"))
+    return rounded(located.select("location_id", "sex_id", "iso_code", "gdp", "gdp_ppp"))
 
 
 # ---- attribution ------------------------------------------------------------
@@ -154,13 +157,13 @@ def world_gdp_override(c):
 @query
 def number_rate_join(c):
     facts = attribution.number_rate_join(c.tables.gbd)
-    return rounded(facts.select("measure_id", "location_id", "cause_id", "numeric_name", "number", "rate"))
+    return rounded(facts.select("measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "number", "rate"))
 
 
 @query
 def population(c):
     people = attribution.population(c.tables.gbd)
-    cols = ["measure_id", "location_id", "cause_id", "numeric_name", "number", "population_100k", "population"]
+    cols = ["measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "number", "population_100k", "population"]
     return rounded(people.select(*cols))
 
 
@@ -170,40 +173,40 @@ def _allocated(c):
 
 @query
 def original_values(c):
-    cols = ["measure_id", "location_id", "cause_id", "numeric_name", "number", "original_value"]
+    cols = ["measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "number", "original_value"]
     return rounded(_allocated(c).select(*cols))
 
 
 @query
 def realloc_values(c):
-    cols = ["measure_id", "location_id", "cause_id", "numeric_name", "number", "realloc_value"]
+    cols = ["measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "number", "realloc_value"]
     return rounded(_allocated(c).select(*cols))
 
 
 @query
 def paf(c):
-    cols = ["measure_id", "location_id", "cause_id", "numeric_name", "prevalence", "relative_risk", "paf2", "paf4"]
+    cols = ["measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "prevalence", "relative_risk", "paf2", "paf4"]
     return rounded(burden.attributed(c.inputs).select(*cols))
 
 
 @query
 def paf_values(c):
     long = attribution.paf_long(burden.attributed(c.inputs))
-    cols = ["measure_id", "location_id", "cause_id", "numeric_name", "paf_formula", "paf", "paf_value"]
+    cols = ["measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "paf_formula", "paf", "paf_value"]
     return rounded(long.select(*cols))
 
 
 @query
 def window_totals(c):
-    cols = ["measure_id", "location_id", "cause_id", "numeric_name", "realloc_value", "original_value"]
-    keys = ["measure_id", "location_id", "numeric_name"]
+    cols = ["measure_id", "location_id", *SLICES, "cause_id", "numeric_name", "realloc_value", "original_value"]
+    keys = ["measure_id", "location_id", *SLICES, "numeric_name"]
     sums = {"realloc_agg": "realloc_value", "original_agg": "original_value"}
     return rounded(attribution.group_totals(_allocated(c).select(*cols), keys, sums))
 
 
 @query
 def cause_totals(c):
-    return rounded(burden.totals(c.inputs).drop("location_name", "measure_name", *codes.SLICES))
+    return rounded(burden.totals(c.inputs).drop("location_name", "measure_name", "age_id"))
 
 
 def _composite(c):
@@ -213,25 +216,25 @@ def _composite(c):
 @query
 def composite_dalys(c):
     dalys = _composite(c).filter(F.col("measure_id") == codes.DALYS)
-    return rounded(dalys.select("location_id", "numeric_name", "paf_formula", "composite_dalys"))
+    return rounded(dalys.select("location_id", *SLICES, "numeric_name", "paf_formula", "composite_dalys"))
 
 
 @query
 def composite_estimates(c):
-    cols = ["location_id", "measure_id", "numeric_name", "paf_formula", "original_agg", "realloc_agg", "paf_agg"]
+    cols = ["location_id", *SLICES, "measure_id", "numeric_name", "paf_formula", "original_agg", "realloc_agg", "paf_agg"]
     named = _composite(c).select(*cols, "composite", F.lit("Mental disorders").alias("cause_name"))
     return rounded(named)
 
 
 @query
 def estimate_ids(c):
-    cols = ["location_id", "measure_id", "numeric_name", "paf_formula", "estimate", "estimate_id", "number"]
+    cols = ["location_id", *SLICES, "measure_id", "numeric_name", "paf_formula", "estimate", "estimate_id", "number"]
     return rounded(burden.estimates(c.inputs).select(*cols))
 
 
 @query
 def burden_rates(c):
-    cols = ["location_id", "measure_id", "numeric_name", "estimate_id", "number", "rate_per_100k", "percent"]
+    cols = ["location_id", *SLICES, "measure_id", "numeric_name", "estimate_id", "number", "rate_per_100k", "percent"]
     return rounded(burden.estimates(c.inputs).select(*cols))
 
 
@@ -242,12 +245,12 @@ def burden_rates(c):
 def gdp_per_capita(c):
     located = dimensions.enrich(burden.totals(c.inputs), c.tables.crosswalk, c.tables.income)
     money = valuation.with_gdp(located, c.inputs.gdp, c.inputs.gdp_ppp)
-    cols = ["location_id", "measure_id", "numeric_name", "gdp", "gdp_per_capita", "gdp_ppp", "gdp_ppp_per_capita"]
+    cols = ["location_id", *SLICES, "measure_id", "numeric_name", "gdp", "gdp_per_capita", "gdp_ppp", "gdp_ppp_per_capita"]
     return rounded(money.select(*cols))
 
 
 def _valuation(c, formula):
-    cols = ["location_id", "measure_id", "numeric_name", "paf_formula", "estimate_id", *codes.COSTS]
+    cols = ["location_id", *SLICES, "measure_id", "numeric_name", "paf_formula", "estimate_id", *codes.COSTS]
     return rounded(burden.valued(c.inputs, formula).select(*cols))
 
 
@@ -264,9 +267,10 @@ def valuation_paf4(c):
 
 @query
 def diff_national(c):
-    diffs = [f"{m}_diff" for m in codes.METRICS]
-    cols = ["location_id", "measure_id", "numeric_name", "estimate_id"]
-    return rounded(burden.national_diff(c.inputs).select(*cols, *diffs))
+    compared = burden.national_diff(c.inputs)
+    diffs = column_range(compared, f"{codes.METRICS[0]}_diff", f"{codes.METRICS[-1]}_diff")
+    cols = ["location_id", *SLICES, "measure_id", "numeric_name", "estimate_id"]
+    return rounded(compared.select(*cols, *diffs))
 
 
 # ---- regions ----------------------------------------------------------------
@@ -274,24 +278,21 @@ def diff_national(c):
 
 @query
 def region_full_join(c):
-    cols = ["iso_code", "location_id", "measure_id", "numeric_name", "estimate_id", *codes.SCHEMES, "number"]
+    cols = ["iso_code", "location_id", *SLICES, "measure_id", "numeric_name", "estimate_id", *codes.SCHEMES, "number"]
     return rounded(burden.regional(c.inputs).select(*cols))
 
 
 @query
 def region_members(c):
-    """Members of every region with burden, for both schemes."""
-    located = dimensions.region_full_join(
-        c.tables.numbers.join(c.tables.crosswalk.select("location_id", "iso_code"), "location_id"), c.tables.region
-    )
+    """Members of every region, for both schemes."""
     parts = [
-        dimensions.region_members(located, s).select(F.lit(s).alias("scheme"), F.col(s).alias("region"), "members")
+        dimensions.region_members(c.tables.region, s).select(F.lit(s).alias("scheme"), F.col(s).alias("region"), "members")
         for s in codes.SCHEMES
     ]
     return parts[0].unionByName(parts[1])
 
 
-REGION_KEYS = ("measure_id", "numeric_name", "estimate_id")
+REGION_KEYS = (*SLICES, "measure_id", "numeric_name", "estimate_id")
 
 
 @query
@@ -318,7 +319,7 @@ def region_rollup(c):
     rows = rollup.shown(burden.regional(c.inputs)).filter(F.col("ihme_region").isNotNull())
     sums = rollup.region_sums(rows, ["ihme_region"])
     percent = F.bround(ratio("number", "measure_total") * 100.0, 1)
-    cols = [F.col("region").alias("ihme_region"), "measure_name", "numeric_name", "estimate"]
+    cols = [F.col("region").alias("ihme_region"), *SLICES, "measure_name", "numeric_name", "estimate"]
     return sums.select(*cols, F.bround(F.col("number") / NUMBER_UNIT, 1).alias("number"), percent.alias("percent"))
 
 
@@ -362,28 +363,28 @@ def ihme_region_diff(c):
 
 @query
 def income_burden(c):
-    cols = ["income_level", "measure_name", "numeric_name", "estimate", "number", "measure_total", "percent"]
+    cols = ["income_level", *SLICES, "measure_name", "numeric_name", "estimate", "number", "measure_total", "percent"]
     return rounded(rollup.income_burden(burden.valued(c.inputs)).select(*cols))
 
 
 @query
 def income_ranked(c):
     ranked = rollup.income_rank(rollup.income_burden(burden.valued(c.inputs)))
-    cols = ["income_rank", "income_name", "measure_name", "numeric_name", "estimate", "number", "percent"]
+    cols = [*SLICES, "income_rank", "income_name", "measure_name", "numeric_name", "estimate", "number", "percent"]
     order = ["income_rank", "measure_name", "numeric_name", "estimate"]
-    return rounded(with_row_index(ranked.select(*cols), order))
+    return rounded(with_row_index(ranked.select(*cols), order, within=SLICES))
 
 
 @query
 def income_costs(c):
     costs = rollup.income_rank(rollup.income_costs(burden.valued(c.inputs)))
-    return rounded(costs.select("income_level", "income_name", "numeric_name", "estimate", *codes.COSTS))
+    return rounded(costs.select("income_level", *SLICES, "income_name", "numeric_name", "estimate", *codes.COSTS))
 
 
 @query
 def cost_long(c):
     long = rollup.cost_long(burden.valued(c.inputs))
-    return rounded(long.select("location_id", "numeric_name", "estimate", "name", "value"), {"value": 0})
+    return rounded(long.select("location_id", *SLICES, "numeric_name", "estimate", "name", "value"), {"value": 0})
 
 
 # ---- charts -------------------------------------------------------------------
@@ -392,7 +393,7 @@ def cost_long(c):
 @query
 def map_join(c):
     joined = dimensions.map_join(c.inputs.boundary, burden.valued(c.inputs))
-    cols = ["iso_code", "gu_a3", "adm0_a3", "on_map", "location_id", "measure_id", "estimate_id", "number"]
+    cols = ["iso_code", "gu_a3", "adm0_a3", "on_map", "location_id", *SLICES, "measure_id", "estimate_id", "number"]
     return rounded(joined.select(*cols))
 
 
@@ -402,24 +403,31 @@ def _mapped(c):
 
 @query
 def national_choropleth(c):
-    return rounded(charts.national_choropleth(_mapped(c)).drop(*codes.SLICES))
+    return rounded(charts.national_choropleth(_mapped(c)).drop("age_id"))
 
 
 @query
 def pct_gdp_clamped(c):
-    return rounded(charts.pct_gdp(_mapped(c)).drop(*codes.SLICES))
+    return rounded(charts.pct_gdp(_mapped(c)).drop("age_id"))
+
+
+def _region_map(c):
+    """The places on the map, and the results of their regions."""
+    places = burden.regional(c.inputs)
+    results = compare.diff_from_baseline(rollup.region_rollup(places), burden.REGION_KEYS)
+    return dimensions.map_join(c.inputs.boundary, places), results
 
 
 @query
 def region_choropleth(c):
-    filled = charts.region_choropleth(burden.region_diff(c.inputs), c.tables.region)
-    return rounded(filled.drop(*codes.SLICES))
+    filled = charts.region_choropleth(*_region_map(c))
+    return rounded(filled.drop("age_id"))
 
 
 @query
 def region_pct_gdp(c):
-    filled = charts.region_pct_gdp(burden.region_diff(c.inputs), c.tables.region)
-    return rounded(filled.drop(*codes.SLICES))
+    filled = charts.region_pct_gdp(*_region_map(c))
+    return rounded(filled.drop("age_id"))
 
 
 BAR_ORDER = {"who_region": WHO_ORDER, "ihme_region": IHME_ORDER}
@@ -427,17 +435,17 @@ BAR_ORDER = {"who_region": WHO_ORDER, "ihme_region": IHME_ORDER}
 
 @query
 def region_bars(c):
-    return rounded(charts.region_bars(burden.region_diff(c.inputs), BAR_ORDER).drop(*codes.SLICES))
+    return rounded(charts.region_bars(burden.region_diff(c.inputs), BAR_ORDER).drop("age_id"))
 
 
 @query
 def region_bars_gdp(c):
-    return rounded(charts.region_bars_gdp(burden.region_diff(c.inputs), BAR_ORDER).drop(*codes.SLICES))
+    return rounded(charts.region_bars_gdp(burden.region_diff(c.inputs), BAR_ORDER).drop("age_id"))
 
 
 def _bins(c, measure):
     binned = charts.binned_rates(burden.region_results(c.inputs, ["ihme_region"]), measure)
-    return rounded(binned.drop(*codes.SLICES), {"rate": 6, "bin_low": 6, "bin_high": 6})
+    return rounded(binned.drop("age_id"), {"rate": 6, "bin_low": 6, "bin_high": 6})
 
 
 @query
@@ -463,7 +471,7 @@ def bins_ylls(c):
 @query
 def extreme_regions(c):
     rolled = burden.region_results(c.inputs, ["ihme_region"])
-    return rounded(charts.extreme_regions(rolled).drop(*codes.SLICES))
+    return rounded(charts.extreme_regions(rolled).drop("age_id"))
 
 
 @query
@@ -481,99 +489,156 @@ def inputs_stack(c):
 
 @query
 def table1_long(c):
-    return tables.table1_long(burden.burden_levels(c.inputs), NUMBER_UNIT).drop("section", "place_rank")
+    return tables.table1_long(burden.burden_levels(c.inputs), NUMBER_UNIT).drop("age_id", "section", "place_rank")
 
 
 @query
 def table1(c):
-    return tables.table1(burden.burden_levels(c.inputs), NUMBER_UNIT).drop("section", "place_rank")
+    return tables.table1(burden.burden_levels(c.inputs), NUMBER_UNIT).drop("age_id", "section", "place_rank")
 
 
 @query
 def table1_indexed(c):
     wide = tables.table1(burden.burden_levels(c.inputs), NUMBER_UNIT)
-    return with_row_index(wide, tables.TABLE1_ORDER).drop("section", "place_rank")
+    return with_row_index(wide, tables.TABLE1_ORDER, within=codes.SLICES).drop("age_id", "section", "place_rank")
 
 
 @query
 def table2_long(c):
-    return tables.table2_long(burden.levels(c.inputs), COST_UNIT).drop("section", "place_rank")
+    return tables.table2_long(burden.levels(c.inputs), COST_UNIT).drop("age_id", "section", "place_rank")
 
 
 @query
 def table2(c):
     wide = tables.table2(burden.levels(c.inputs), COST_UNIT)
-    return with_row_index(wide, tables.TABLE2_ORDER).drop("section", "place_rank")
+    return with_row_index(wide, tables.TABLE2_ORDER, within=codes.SLICES).drop("age_id", "section", "place_rank")
 
 
 @query
 def table_appendix(c):
     inputs = c.inputs
     world = burden.valued(inputs).filter(F.col("location_id") == codes.WORLD_LOCATION)
-    return tables.table_appendix(world, COST_UNIT).drop("row_order")
+    return tables.table_appendix(world, COST_UNIT).drop("age_id", "row_order")
 
 
 @query
 def headline_metrics(c):
-    return headlines.headline_metrics(burden.levels(c.inputs), NUMBER_UNIT, COST_UNIT)
+    return headlines.headline_metrics(burden.levels(c.inputs), NUMBER_UNIT, COST_UNIT).drop("age_id")
 
 
-# ---- uncertainty draws: one draw per order ------------------------------------------
+# ---- the report, written and read again -----------------------------------------
 
 
-def _ids(c):
-    return c.tables.table("orders").select(F.col("o_orderkey").alias("draw_id"))
+def _report(c):
+    path = shared_path(c.spark, "report")
+    made = report.report(c.inputs, NUMBER_UNIT, COST_UNIT)
+    report.write(made, path)
+    return made, path
 
 
-SUMMARY_DIGITS = {"mean": 2, "sd": 2, "p025": 2, "p500": 2, "p975": 2}
+@query
+def report_table1(c):
+    """Table 1 as a reader of the report finds it: an index, then the columns by name."""
+    made, path = _report(c)
+    names = ["measure_name", "location_name", *tables.TABLE1_COLUMNS]
+    stored = c.spark.read.option("header", True).csv(f"{path}/table1")
+    kinds = dict(made.table1.dtypes)
+    return stored.select(
+        F.col("_c0").cast("int").alias("row_index"), *[F.col(s).cast("int").alias(s) for s in SLICES],
+        *[F.col(f"`{n}`").cast(kinds[n]).alias(n) for n in names],
+    )
 
 
 @query
-def mc_ci(c):
-    """Draws around each place's own prevalence and deaths."""
-    prevalence = readers.prevalence(c.tables.gbd_prev).groupBy("location_id")
-    prevalence = prevalence.pivot("numeric_name", list(codes.BOUNDS)).agg(F.first("prevalence"))
+def report_appendix(c):
+    """The appendix as a reader of the report finds it: row names, then nine columns of text."""
+    _, path = _report(c)
+    stored = c.spark.read.option("header", True).csv(f"{path}/table_appendix")
+    return stored.withColumnRenamed("_c0", "field").drop("age_id").select(
+        *[F.col(s).cast("int").alias(s) for s in SLICES], "field", *[F.col(f"`{i}`") for i in range(1, 10)]
+    )
+
+
+# ---- uncertainty draws: one draw per order ------------------------------------------
+
+
+def _orders(c):
+    """Orders as draws, with the prevalence and deaths of their place and slice."""
+    keys = ["location_id", *SLICES]
+    prevalence = readers.prevalence(c.tables.gbd_prev).groupBy(*keys)
+    prevalence = prevalence.pivot("numeric_name", list(codes.BOUNDS)).agg(F.max("prevalence"))
     deaths = c.tables.numbers.filter(
         (F.col("cause_id") == codes.ALL_CAUSES) & (F.col("measure_id") == codes.DEATHS)
-    ).select("location_id", *[F.col(b).alias(f"deaths_{b}") for b in codes.BOUNDS])
-    # One row per place, read by every pass over the draws.
-    places = stage(prevalence.join(deaths, "location_id"), "place-parameters")
-    ids = c.tables.order_places.select(
-        F.col("o_orderkey").alias("draw_id"), (F.col("nation") + 2).alias("location_id")
-    ).join(places, "location_id")
-    drawn = draws.published_intervals(
-        ids,
-        prevalence=(F.col("val"), F.col("lower"), F.col("upper")),
-        deaths=(F.col("deaths_val"), F.col("deaths_lower"), F.col("deaths_upper")),
-    ).select("draw_id", "location_id", "prevalence", "relative_risk", "deaths")
-    return rounded(sensitivity.deaths_summary(drawn, ["location_id"]), {k: 6 for k in SUMMARY_DIGITS})
+    ).select(*keys, *[F.col(b).alias(f"deaths_{b}") for b in codes.BOUNDS])
+    # One row per place and slice. An order whose place lacks one of them stays, without values.
+    places = stage(prevalence.join(deaths, keys, "full"), "place-parameters")
+    return c.tables.order_places.select(
+        F.col("o_orderkey").alias("draw_id"), (F.col("nation") + 2).alias("location_id"), *SLICES
+    ).join(places, keys, "left")
+
+
+PREVALENCE = ("val", "lower", "upper")
+DEATHS = ("deaths_val", "deaths_lower", "deaths_upper")
+
+
+def _drawn(c, scenario):
+    """Draws of one scenario around the deaths of each order's place."""
+    deaths = tuple(F.col(d) for d in DEATHS)
+    if scenario == 1:
+        made = draws.published_intervals(_orders(c), prevalence=tuple(F.col(p) for p in PREVALENCE), deaths=deaths)
+    else:
+        made = (draws.risk_grid if scenario == 2 else draws.wide_risk)(_orders(c), deaths=deaths)
+    return made.select("draw_id", "location_id", *SLICES, "prevalence", "relative_risk", "deaths")
+
+
+SUMMARY_DIGITS = {"mean": 6, "sd": 6, "p025": 6, "p500": 6, "p975": 6, "largest": 6, "axis_limit": 8}
 
 
 @query
-def mc_paf_long(c):
-    long = draws.attributable_deaths(draws.published_intervals(_ids(c)))
-    digits = {"prevalence": 10, "relative_risk": 10, "deaths": 2, "paf": 10, "deaths_mh": 2}
+def mc_ci(c):
+    """Draws around the prevalence and deaths of each place and slice."""
+    return rounded(sensitivity.deaths_summary(_drawn(c, 1), ["location_id", *SLICES]), SUMMARY_DIGITS)
+
+
+def _long(c, scenario):
+    long = draws.attributable_deaths(_drawn(c, scenario))
+    digits = {"prevalence": 10, "relative_risk": 10, "deaths": 6, "paf": 10, "deaths_mh": 6}
     return rounded(long.select("draw_id", "formula", "prevalence", "relative_risk", "deaths", "paf", "deaths_mh"), digits)
 
 
+@query
+def mc_paf_long(c):
+    return _long(c, 1)
+
+
+@query
+def mc_grid_long(c):
+    return _long(c, 2)
+
+
+@query
+def mc_wide_long(c):
+    return _long(c, 3)
+
+
 @query
 def mc_uniform(c):
-    """Distribution of the two uniformly drawn parameters."""
-    grid = draws.risk_grid(_ids(c)).select(F.lit("prevalence").alias("variable"), F.col("prevalence").alias("x"))
-    wide = draws.wide_risk(_ids(c)).select(F.lit("relative_risk").alias("variable"), F.col("relative_risk").alias("x"))
-    both = grid.unionByName(wide)
-    return rounded(sensitivity.summarize(both, ["variable"], "x"), {k: 8 for k in SUMMARY_DIGITS})
+    """Distribution, by place, of the two uniformly drawn parameters."""
+    grid = _drawn(c, 2).select("location_id", F.lit("prevalence").alias("variable"), F.col("prevalence").alias("x"))
+    wide = _drawn(c, 3).select("location_id", F.lit("relative_risk").alias("variable"), F.col("relative_risk").alias("x"))
+    return rounded(sensitivity.summarize(grid.unionByName(wide), ["location_id", "variable"], "x"), {k: 8 for k in SUMMARY_DIGITS})
 
 
 @query
 def mc_rr_grid(c):
-    return rounded(sensitivity.deaths_summary(draws.risk_grid(_ids(c)), ["relative_risk"]), SUMMARY_DIGITS)
+    return rounded(sensitivity.deaths_summary(_drawn(c, 2), ["relative_risk"]), SUMMARY_DIGITS)
 
 
 @query
 def mc_walker(c):
-    flagged = sensitivity.in_published_band(draws.wide_risk(_ids(c)))
-    return rounded(sensitivity.deaths_summary(flagged, ["in_band"]), SUMMARY_DIGITS)
+    flagged = sensitivity.in_published_band(_drawn(c, 3))
+    summary = sensitivity.deaths_summary(flagged, ["in_band"], {"largest": F.max("deaths_mh")})
+    return rounded(sensitivity.with_axis_limit(summary), SUMMARY_DIGITS)
 
 
 def bind(fn: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

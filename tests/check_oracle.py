@@ -2,6 +2,7 @@
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem documents benchmark labels conversations".split()
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -57,12 +58,13 @@ if __name__ == "__main__":
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="check-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0
-    for key in sys.argv[2:] or entry.queries():
+    for key in sys.argv[2:] or entry.oracle_sql():
         start = time.time()
         try:
             problem = compare(spark, con, folder, key)

@@ -70,10 +70,11 @@ def test_quantiles_are_exact_for_any_sketch(spark, accuracy):
         "two": np.array([1.0, 2.0]),
         None: rng.uniform(size=777),
     }
-    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("ties", None)]
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("ties", None), ("unknown", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(5)
-    out = grouped_quantiles(df, ["g"], "x", PROBS, {"n": F.count(F.lit(1))}, accuracy=accuracy)
+    out = grouped_quantiles(df, ["g"], "x", PROBS, {"n": F.count("x")}, accuracy=accuracy)
     got = {r.g: r for r in out.collect()}
+    assert tuple(got.pop("unknown")) == ("unknown", 0, *[None] * len(PROBS))
     assert set(got) == set(groups)
     for g, xs in groups.items():
         assert got[g].n == len(xs)

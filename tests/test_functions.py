@@ -66,7 +66,7 @@ def test_bins_are_right_closed(spark):
     assert [r[0] for r in df.select(bin_index(F.col("x"), breaks)).collect()] == [None, 1, 1, 2, 3, None, None]
 
 
-@pytest.mark.parametrize("value, label", [(152.37, "152"), (7.9512, "7.95"), (140.3, "140.3"), (12.0, "12")])
+@pytest.mark.parametrize("value, label", [(152.37, "152"), (7.9512, "7.95"), (140.3, "140.3"), (12.0, "12"), (140.0000012, "140.000001"), (0.0000123456, "0.0000123")])
 def test_break_labels(spark, value, label):
     fixed = (0, 1, 20, 40, 140)
     assert spark.range(1).select(break_label(F.lit(value), fixed)).first()[0] == label

@@ -1,11 +1,12 @@
 """Valuation, roll-ups, comparisons, charts, tables and headlines."""
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from dalyworks import codes
 from dalyworks.operators import charts, compare, dimensions, evidence, rollup, valuation
-from dalyworks.plans import headlines, tables
+from dalyworks.plans import burden, headlines, report, tables
 from dalyworks.sources import readers, sinks
 
 VALUED = (
@@ -218,9 +219,10 @@ def levels(spark):
 
 def test_headlines_follow_from_the_published_tables(levels):
     h = headlines.headline_metrics(levels).first()
-    assert (h.abstract1, h.abstract2, h.abstract3, h.abstract4) == (418.0, 16.0, 125.0, 4.7)
-    assert (h.abstract5, h.abstract6, h.abstract7, h.abstract8) == ("Reg A; Reg C", 8.0, "Reg B", 4.0)
-    assert (h.results1, h.results2, h.results3, h.results4, h.results5, h.results6) == (125.0, 5.0, 12.0, 321.0, 81.0, 32.0)
+    assert (h.dalys_composite_rounded, h.percent_composite_floor, h.dalys_gbd_rounded, h.cost_composite_floor) == (418.0, 16.0, 125.0, 4.7)
+    assert (h.highest_share_regions, h.highest_share, h.lowest_share_regions, h.lowest_share) == ("Reg A; Reg C", 8.0, "Reg B", 4.0)
+    assert (h.dalys_gbd_floor, h.percent_gbd_rounded, h.percent_realloc_floor, h.dalys_realloc_floor) == (125.0, 5.0, 12.0, 321.0)
+    assert (h.dalys_high_income, h.dalys_low_income) == (81.0, 32.0)
     assert h.more_than_threefold and h.income_gradient == "over twice"
     assert (h.added_by_composite, h.cost_over_realloc, h.cost_over_gbd) == (97.0, 1.1, 3.3)
     assert (h.underestimate, h.underestimate_percent, h.over_earlier_projection) == (293.0, 70.0, 1.8)
@@ -229,7 +231,7 @@ def test_headlines_follow_from_the_published_tables(levels):
 
 def test_table1_layout(levels):
     table = tables.table1(levels)
-    assert table.columns[4:] == list(tables.TABLE1_COLUMNS) and len(tables.TABLE1_COLUMNS) == 18
+    assert table.columns[7:] == list(tables.TABLE1_COLUMNS) and len(tables.TABLE1_COLUMNS) == 18
     world = one(table, location_name="Global")
     assert [world[f"{b}_number_Composite method"] for b in ("val", "lower", "upper")] == [417.7, 276.7, 608.4]
 
@@ -245,7 +247,7 @@ def test_table2_and_index(levels):
 
 def test_appendix_is_transposed_text(levels):
     world = levels.filter("section = 1")
-    out = tables.table_appendix(world).orderBy("row_order").drop("row_order")
+    out = tables.table_appendix(world).orderBy("row_order").drop("row_order", *codes.SLICES)
     assert out.columns == ["field"] + [str(i) for i in range(1, 10)]
     got = [list(r) for r in out.collect()]
     assert got[0][1:] == ["2016 reallocation approach"] * 3 + ["Composite method"] * 3 + ["GBD 2019"] * 3
@@ -253,6 +255,26 @@ def test_appendix_is_transposed_text(levels):
     assert got[2] == ["cost_cc1", "0.32", "0.2", "0.51", "0.42", "0.28", "0.61", "0.13", "0.09", "0.16"]
 
 
+def test_two_years_give_two_tables(levels):
+    both = levels.unionByName(levels.withColumns({"year": F.lit(2018), **{c: F.col(c) * 2 for c in ("number", "percent", *codes.COSTS)}}))
+    world = {r.year: r["val_number_Composite method"] for r in tables.table1(both).filter("location_name = 'Global'").collect()}
+    assert world == {2019: 417.7, 2018: 835.4}
+    cost = tables.table2(both).filter("location_name = 'Global' AND name = 'cost_who1'")
+    assert {r.year: r["val_Composite method"] for r in cost.collect()} == {2019: 4.74, 2018: 9.48}
+    cells = tables.table_appendix(both.filter("section = 1")).filter("field = 'cost_cc1'")
+    assert {r.year: r["4"] for r in cells.collect()} == {2019: "0.42", 2018: "0.84"}
+    assert {r.year: r.cost_composite for r in headlines.headline_metrics(both).collect()} == {2019: 4.74, 2018: 9.48}
+    indexed = sinks.with_row_index(tables.table1(both), tables.TABLE1_ORDER, within=codes.SLICES)
+    assert sorted((r.year, r.row_index) for r in indexed.collect()) == [(y, i) for y in (2018, 2019) for i in range(1, 7)]
+
+
+def test_two_values_for_one_cell_fail(levels):
+    twice = levels.unionByName(levels.withColumn("number", F.col("number") + 1e6))
+    for made in (tables.table1(twice), headlines.headline_metrics(twice)):
+        with pytest.raises(PySparkException, match="two values"):
+            made.collect()
+
+
 def test_indexed_csv(spark, levels, tmp_path):
     path = str(tmp_path / "table")
     sinks.write_indexed_csv(tables.table1(levels), tables.TABLE1_ORDER, path, ["measure_name", "location_name"])
@@ -284,3 +306,90 @@ def test_extracts_from_csv(spark, tmp_path):
     assert extract.schema["val"].dataType.typeName() == "double"
     got = {(r.location_id, r.numeric_name, r.prevalence) for r in readers.prevalence(extract).collect()}
     assert got == {(7, "val", 0.13), (7, "upper", 0.14), (7, "lower", 0.12)}
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "crosswalk.csv"
+    path.write_text('location_name,extra,iso_code,location_id\n"Cote ""d\'Ivoire""",1,CIV,5\nNowhere,NA,NA,6\n')
+    got = sorted(map(tuple, readers.read_crosswalk(spark, str(path), "csv").collect()))
+    assert got == [(5, "CIV", 'Cote "d\'Ivoire"'), (6, None, "Nowhere")]
+    with pytest.raises(ValueError, match="no column who_region"):
+        readers.read_region(spark, str(path), "csv")
+    path.write_text("location_id,iso_code,location_name\nfive,CIV,x\n")
+    with pytest.raises(PySparkException):
+        readers.read_crosswalk(spark, str(path), "csv").collect()
+
+
+def test_missing_and_malformed_indicators(spark, tmp_path):
+    path = tmp_path / "gdp.csv"
+    path.write_text("iso_code,2019\nAAA,3.5\nBBB,NA\nCCC,\n")
+    wide = readers.read_wide(spark, str(path))
+    assert sorted(map(tuple, readers.indicator(wide, "gdp").collect())) == [("AAA", 3.5), ("BBB", None), ("CCC", None)]
+    path.write_text("iso_code,2019\nAAA,lots\n")
+    with pytest.raises(PySparkException):
+        readers.indicator(readers.read_wide(spark, str(path)), "gdp").collect()
+
+
+def test_map_fills_are_those_of_places_with_burden(spark, valued):
+    region = valued.select("iso_code", "who_region", "ihme_region").distinct().filter("iso_code IS NOT NULL")
+    region = region.unionByName(spark.createDataFrame([("ZZZ", "West", "W-0")], region.schema))
+    places = dimensions.region_full_join(valued.drop("who_region", "ihme_region"), region)
+    keys = ["scheme", "region", "measure_id", "numeric_name", "paf_formula", *codes.SLICES]
+    results = compare.diff_from_baseline(rollup.region_rollup(places), keys)
+    boundary = readers.repair_iso(spark.createDataFrame([("AAA", "AAA"), ("ZZZ", "ZZZ")], "gu_a3 string, adm0_a3 string"))
+    fills = charts.region_choropleth(dimensions.map_join(boundary, places), results)
+    shown = {(r.scheme, r.region, r.iso_code, r.on_map) for r in fills.collect()}
+    assert not any(iso == "ZZZ" for _, _, iso, _ in shown)
+    assert ("who_region", "West", "AAA", True) in shown and ("who_region", None, None, False) in shown
+    assert ("ihme_region", None, "DDD", False) in shown
+    value = one(fills, scheme="who_region", iso_code="AAA", measure_id=2, estimate_id=4, metric="percent", comparison="diff").value
+    assert value == pytest.approx(30.0)
+
+
+def test_from_csv_files_to_table1(spark, tmp_path):
+    """The inputs as they come, two years in one extract."""
+    names = readers.schemas.GBD.names
+    lines, prevalence = [",".join(names)], [",".join(names)]
+
+    def row(measure, place, cause, metric, year, val):
+        cells = {
+            "measure_id": measure, "measure_name": codes.MEASURE_NAMES[measure], "location_id": place, "location_name": f'"P, {place}"',
+            "sex_id": 3, "sex_name": "Both", "age_id": 22, "age_name": "All ages", "cause_id": cause, "cause_name": f"c{cause}",
+            "metric_id": metric, "metric_name": codes.METRIC_NAMES[metric], "year": year, "val": val, "upper": val * 1.5, "lower": val / 2,
+        }
+        return ",".join(str(cells[n]) for n in names)
+
+    for year in (2018, 2019):
+        for place, people in ((1, 200.0), (5, 20.0)):
+            for measure in (codes.DEATHS, codes.DALYS, codes.YLDS, codes.YLLS):
+                for cause, share in ((294, 1.0), (558, 0.05), (409, 0.6), (687, 0.1)):
+                    number = share * people * 1e6 * (year - 2017)
+                    lines += [row(measure, place, cause, 1, year, number), row(measure, place, cause, 3, year, number / people)]
+            prevalence.append(row(5, place, 558, 2, year, 0.13))
+    files = {
+        "gbd": "\n".join([*lines, lines[1]]), "prev": "\n".join(prevalence), "crosswalk": "iso_code,location_name,location_id\nNA,Global,1\nAAA,A,5",
+        "income": "iso_code,2018,2019\nAAA,H,L", "gdp": "iso_code,2019\nAAA,NA\nWLD,1000", "region": "ihme_region,who_region,iso_code\nR-0,R,AAA\nQ-0,Q,ZZZ",
+        "boundary": "gu_a3,adm0_a3\nAAA,AAA",
+    }
+    at = {}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text + "\n")
+        at[name] = str(tmp_path / f"{name}.csv")
+    inputs = burden.Inputs(
+        gbd=readers.read_gbd(spark, at["gbd"], "csv"), gbd_prev=readers.read_gbd(spark, at["prev"], "csv"),
+        crosswalk=readers.read_crosswalk(spark, at["crosswalk"], "csv"), income=readers.income_levels(readers.read_wide(spark, at["income"])),
+        gdp=readers.indicator(readers.read_wide(spark, at["gdp"]), "gdp"), gdp_ppp=readers.indicator(readers.read_wide(spark, at["gdp"]), "gdp_ppp"),
+        region=readers.read_region(spark, at["region"], "csv"), boundary=readers.repair_iso(readers.read_boundary(spark, at["boundary"], "csv")),
+    )
+    table = tables.table1(burden.burden_levels(inputs))
+    assert {(r.year, r.location_name) for r in table.collect()} == {(y, p) for y in (2018, 2019) for p in ("Global", "Low income", "R-0")}
+    dalys = {r.year: r for r in table.filter("location_name = 'Global' AND measure_name LIKE 'DALY%'").collect()}
+    assert [dalys[y]["val_number_GBD 2019"] for y in (2018, 2019)] == [10.0, 20.0]
+    assert dalys[2019]["val_percent_GBD 2019"] == 5.0
+    paf = sum(s * 0.13 * (rr - 1) / (0.13 * (rr - 1) + 1) for s, rr in ((0.6, 1.8), (0.1, 7.22)))
+    assert dalys[2018]["val_percent_Composite method"] == round((0.05 + paf) * 100, 1)
+    whole = report.report(inputs, 1e6, 1e3)
+    assert whole.table2.filter("location_name = 'Global' AND name = 'cost_who1' AND year = 2019").count() == 1
+    report.write(whole, str(tmp_path / "out"))
+    stored = spark.read.option("header", True).csv(str(tmp_path / "out" / "table1"))
+    assert stored.count() == table.count() and stored.columns[0] == "_c0"
