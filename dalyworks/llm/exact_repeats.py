@@ -73,22 +73,26 @@ def _anchor_rows(span: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["id", "mark", "pos", "core", "whole"])
+
         for batch in batches:
-            ids, marks, at, cores, wholes = [], [], [], [], []
             for i, m, b in zip(*(batch.column(k) for k in range(3)), strict=True):
                 text = b.as_py()
                 found = anchors(text, span, window)
-                if not len(found):
+                n, places = len(found), found.tolist()
+                if not n:
                     continue
-                places = found.tolist()
-                ids.append(np.full(len(places), i.as_py(), np.int64))
-                marks.append(np.full(len(places), m.as_py(), np.int64))
-                at.append(found)
-                cores += [digest(text[a : a + core]) for a in places]
-                wholes += [digest(text[max(0, a - window + 1) : a + span], min(a, window - 1)) for a in places]
-            if ids:
-                columns = [np.concatenate(ids), np.concatenate(marks), np.concatenate(at), np.array(cores, np.uint64).view(np.int64), np.array(wholes, np.uint64).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "mark", "pos", "core", "whole"])
+                cores = np.fromiter((digest(text[a : a + core]) for a in places), np.uint64, n)
+                wholes = np.fromiter((digest(text[max(0, a - window + 1) : a + span], min(a, window - 1)) for a in places), np.uint64, n)
+                held.append((np.full(n, i.as_py(), np.int64), np.full(n, m.as_py(), np.int64), found, cores.view(np.int64), wholes.view(np.int64)))
+                if len(held) >= 1000:
+                    yield full()
+                    held.clear()
+        if held:
+            yield full()
 
     return run
 
@@ -119,16 +123,23 @@ def _context_rows(span: int, window: int):
     core = span - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        out: list[tuple] = []
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["id", "mark", "pos", "core", "hot", "left", "right"])
+
         for batch in batches:
-            out: list[tuple] = []
             for i, m, b, asked in zip(*(batch.column(k) for k in range(4)), strict=True):
-                text = b.as_py()
+                name, mark, text = i.as_py(), m.as_py(), b.as_py()
                 for x in {(p["pos"], p["core"], p["hot"]) for p in asked.as_py()}:
                     a = x[0]
-                    out.append((i.as_py(), m.as_py(), *x, text[max(0, a - window + 1) : a], text[a + core : a + span]))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["id", "mark", "pos", "core", "hot", "left", "right"])
+                    out.append((name, mark, *x, text[max(0, a - window + 1) : a], text[a + core : a + span]))
+                if len(out) >= 10_000:
+                    yield full()
+                    out.clear()
+        if out:
+            yield full()
 
     return run
 
