@@ -254,7 +254,7 @@ def search(
     slop: int | None = None,
     pass_words: int = PASS_WORDS,
 ) -> DataFrame:
-    """For each document of ``index``: n_words, the word positions hit, and the items that hit.
+    """For each document of ``index``, a stored table: n_words, the word positions hit, the items that hit.
 
     ``slop`` None asks for exact phrases: ``window`` consecutive item words (an item of fewer
     words is one window). A number asks for proximity: all words of a window within so many

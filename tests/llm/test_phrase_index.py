@@ -4,6 +4,7 @@ import re
 from helpers import awkward, documents, prose
 
 from dalyworks.llm import phrase_index
+from dalyworks.llm.common import staged
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,7 +52,7 @@ def test_hits_match_a_plain_search(spark):
 
 def test_passes_and_shards_do_not_change_the_result(spark):
     docs, items = case()
-    index = phrase_index.build_index(documents(spark, docs), shard_bytes=50)
+    index = staged(phrase_index.build_index(documents(spark, docs), shard_bytes=50), "index")
     table = spark.createDataFrame(items, "item_id long, text string")
     one = phrase_index.search(index, table).collect()
     many = phrase_index.search(index, table, pass_words=10).collect()
