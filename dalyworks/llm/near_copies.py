@@ -19,20 +19,26 @@ WORDS = 4
 TILE = 1024
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the word shingles, repeats counted; no words: zero."""
+def shingles(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the word shingles in order, repeats included; of fewer words one, of none none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = np.concatenate(([0], gaps[: len(words) - shingle] + 1)).tolist()
-        ends = np.concatenate((gaps[shingle - 1 :], [len(joined)])).tolist()
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+        return np.array([digest(joined, seed)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = np.concatenate(([0], gaps[: len(words) - shingle] + 1)).tolist()
+    ends = np.concatenate((gaps[shingle - 1 :], [len(joined)])).tolist()
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the word shingles, repeats counted; no words: zero."""
+    hashes = shingles(text, shingle, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         block = hashes[at : at + 65536]
