@@ -64,6 +64,41 @@ whole AS (
 SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,
        formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid FROM whole"""
 
+#: The CRC-32 of a text, byte by byte; the table of the 256 byte values follows from the polynomial.
+CRC_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc(text: str, table: str = "t") -> str:
+    """SQL for the unsigned CRC-32 of ``text``, where ``table`` is the column of ``CRC_TABLE``."""
+    code = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {code}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: Six equal words in a row lie one period apart in every run of twelve words and two periods.
+PERIODIC_RUNS = f"""
+WITH crc AS MATERIALIZED ({CRC_TABLE}),
+said AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         {_crc("coalesce(doc_id::VARCHAR, '')")} AS h FROM documents, crc),
+plan AS (SELECT *, length(w) AS n, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND length(w) > 0 THEN (h // 10) % length(w) END AS a FROM said),
+docs AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w
+         ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS w
+  FROM plan),
+grams AS MATERIALIZED (SELECT r, i, array_to_string(w[i + 1 : i + 6], ' ') AS g FROM (SELECT r, w, unnest(range(0, n - 5)) AS i FROM docs WHERE n >= 12)),
+same AS (SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+rows_ AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT r, min(i) AS s, count(*) + 5 + q AS size, q FROM rows_ GROUP BY r, q, island),
+runs AS (SELECT r, s, size, min(q) AS q FROM stretches WHERE size >= greatest(12, 2 * q) GROUP BY r, s, size),
+best AS (
+  SELECT r, count(*) AS n_runs, arg_min({{'s': s, 'size': size, 'q': q}}, (-size, s, q)) AS b,
+         string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w[i + 1], ' ' ORDER BY i) AS y FROM (SELECT r, w, unnest(range(0, n)) AS i FROM docs) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s::BIGINT AS start, b.size::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * b.size // b.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(y, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT}
+    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT, "op11_periodic_runs": PERIODIC_RUNS}

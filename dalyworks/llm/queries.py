@@ -13,6 +13,7 @@ from dalyworks.llm import (
     line_quality,
     mixing,
     near_copies,
+    periodic_runs,
     phrase_index,
     scaled_sketch,
     secret_scan,
@@ -62,5 +63,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
