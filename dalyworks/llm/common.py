@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +25,35 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
+#: Paths that the open scopes of ``scratch`` delete at their ends, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def staged(df: DataFrame, label: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there.
+
+    Inside ``scratch`` the table goes at the end of the scope, or with ``keep`` of the next one out.
+    """
     path = f"{shared_folder(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
+    holder = _scopes[:-1] if keep else _scopes
+    if holder:
+        holder[-1].append(path)
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what was staged inside; what is still wanted is staged with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, lengthened until it clashes with none of ``taken`` (case ignored)."""
     used = {x.lower() for x in taken}

@@ -99,6 +99,27 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s::BIGINT AS start, b.size::BIGI
        (1000 * b.size // b.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(y, '')) AS collapsed_sha256
 FROM docs LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
 
+#: Words one replacement apart are equal without the code point at that place; words one
+#: insertion apart are equal once the longer has lost one.
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE}),
+said AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-z\\x{{C0}}-\\x{{FF}}]{{5,}}')) AS w FROM documents),
+counted AS (SELECT d, w, count(*) AS c FROM said GROUP BY d, w),
+marked AS (SELECT w, c, {_crc("d || ':' || w")} AS h FROM counted, crc),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS w, c FROM marked),
+words AS MATERIALIZED (SELECT w, sum(c)::BIGINT AS n FROM made WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+less AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS v FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT x.w AS a, x.n AS a_n, y.w AS b, y.n AS b_n FROM less x JOIN less y ON x.i = y.i AND x.v = y.v AND x.w <> y.w
+  UNION SELECT x.w, x.n, y.w, y.n FROM less x JOIN words y ON x.v = y.w
+  UNION SELECT y.w, y.n, x.w, x.n FROM less x JOIN words y ON x.v = y.w),
+best AS (SELECT a AS w, count(*) AS n_near, arg_min({{'w': b, 'n': b_n}}, (-b_n, b)) AS f FROM pairs GROUP BY a),
+forms AS MATERIALIZED (
+  SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * n THEN f.w END AS form, CASE WHEN f.n >= 2 * n THEN f.n END AS form_n
+  FROM words LEFT JOIN best USING (w)),
+walk AS (SELECT w, w AS place, form AS onward FROM forms UNION ALL SELECT walk.w, forms.w, forms.form FROM walk JOIN forms ON forms.w = walk.onward)
+SELECT forms.w AS word, form, place AS root, n, n_near, form_n FROM forms JOIN walk ON walk.w = forms.w AND walk.onward IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT, "op11_periodic_runs": PERIODIC_RUNS}
+    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT, "op11_periodic_runs": PERIODIC_RUNS, "op13_spelling_variants": SPELLING_VARIANTS}

@@ -17,6 +17,7 @@ from dalyworks.llm import (
     phrase_index,
     scaled_sketch,
     secret_scan,
+    spelling_variants,
     training_order,
 )
 from dalyworks.llm.common import table
@@ -67,5 +68,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
