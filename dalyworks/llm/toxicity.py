@@ -265,7 +265,7 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return max(a, 0.05), b
 
 
-def fit(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 10, steps: int = 350, rate: float = 0.01, group: int = 32, drop: float = 0.2, seed: int = 7) -> Net:
+def fit(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 10, steps: int = 350, rate: float = 0.01, group: int = 32, drop: float = 0.5, seed: int = 7) -> Net:
     """A network whose documents' pooled window scores tell label 1, with its calibration.
 
     Four documents in five are trained on with Adam, in ``rounds`` over all of them or more where
