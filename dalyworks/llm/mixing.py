@@ -107,7 +107,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     and a size are interchangeable. The added columns are named clear of those of ``docs``:
     ``size`` and so on, lengthened by underscores where a name is taken.
     """
-    names = {n: fresh(docs.columns, n) for n in ("size", "source_size", "target", "copies", "salt", "rank", "before", "extra")}
+    names: dict[str, str] = {}
+    for n in ("size", "source_size", "target", "copies", "salt", "rank", "before", "extra", "s", "n", "z", "t", "c"):
+        names[n] = fresh([*docs.columns, *names.values()], n)
+    s, null, z, t, c = (names[n] for n in ("s", "n", "z", "t", "c"))
     count = F.col(size) if size else word_count(F.col(text))
     salt = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), F.lit(SALTS))
     rows = docs.withColumns({names["size"]: count.cast("long"), names["salt"]: salt})
@@ -122,19 +125,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     same = parts["source"].eqNullSafe(plan["source"]) & (parts["size"] == plan["size"])
     ranked = staged(parts.join(plan, same).select(parts["source"], parts["size"], "salt", "before", "source_size", "target", "copies", "extra"), "ranks")
     side = ranked.select(
-        F.coalesce("source", F.lit("")).alias("__s"), F.isnull("source").alias("__n"), F.col("size").alias("__z"), F.col("salt").alias("__t"),
+        F.coalesce("source", F.lit("")).alias(s), F.isnull("source").alias(null), F.col("size").alias(z), F.col("salt").alias(t),
         F.col("before").alias(names["before"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
-        F.col("copies").alias("__c"), F.col("extra").alias(names["extra"]),
+        F.col("copies").alias(c), F.col("extra").alias(names["extra"]),
     )
     on = [
-        F.coalesce(rows[source].cast("string"), F.lit("")) == side["__s"], rows[source].isNull() == side["__n"],
-        rows[names["size"]] == side["__z"], rows[names["salt"]] == side["__t"],
+        F.coalesce(rows[source].cast("string"), F.lit("")) == side[s], rows[source].isNull() == side[null],
+        rows[names["size"]] == side[z], rows[names["salt"]] == side[t],
     ]
-    within = Window.partitionBy("__s", "__n", "__z", "__t").orderBy(F.xxhash64(F.col(doc_id), F.lit(seed)), F.col(doc_id))
+    within = Window.partitionBy(s, null, z, t).orderBy(F.xxhash64(F.col(doc_id), F.lit(seed)), F.col(doc_id))
     joined = rows.join(side, on).withColumn(names["rank"], F.row_number().over(within) + F.col(names["before"]))
     chosen = F.when(F.col(names["rank"]) <= F.col(names["extra"]), 1).otherwise(0)
-    return joined.withColumn(names["copies"], F.col("__c") + chosen).drop(
-        "__s", "__n", "__z", "__t", "__c", names["salt"], names["rank"], names["before"], names["extra"]
+    return joined.withColumn(names["copies"], F.col(c) + chosen).drop(
+        s, null, z, t, c, names["salt"], names["rank"], names["before"], names["extra"]
     )
 
 

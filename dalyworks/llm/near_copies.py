@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dalyworks.llm.common import LOWER, components, fresh, per_text, staged
+from dalyworks.llm.common import LOWER, components, per_text, staged
 
 #: Words of 16 bits whose population counts make up a tile's key.
 WORDS = 4
@@ -159,15 +159,3 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     named = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     members = staged(rooted.join(named, "root").select("fp", "component_id"), "members")
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays, that of its smallest doc_id; columns unchanged.
-
-    Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be named and stay.
-    """
-    found = near_copies(docs, doc_id, text)
-    key = fresh(docs.columns, "keeper")
-    keepers = staged(found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct(), "keepers")
-    named = docs.join(keepers, docs[doc_id] == keepers[key], "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dalyworks.llm.common import fresh, staged
+from dalyworks.llm.common import fresh, scratch, staged
 
 #: Lowers A-Z and turns every byte that is in no word into a space.
 _WORDS = bytes(
@@ -301,8 +301,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a window of a benchmark item; columns unchanged."""
-    found = search(staged(build_index(docs), "index"), benchmark, window=window).where(F.size("hits") > 0)
     key, mark = fresh(docs.columns, "bad_id"), fresh(docs.columns, "bad_text")
-    bad = staged(found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct(), "bad")
+    with scratch(docs.sparkSession):
+        found = search(staged(build_index(docs), "index"), benchmark, window=window).where(F.size("hits") > 0)
+        bad = staged(found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct(), "bad", keep=True)
     same = docs["doc_id"].cast("long").eqNullSafe(bad[key]) & (F.xxhash64(docs["text"]) == bad[mark])
     return docs.join(bad, same, "left_anti")

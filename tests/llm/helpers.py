@@ -18,7 +18,7 @@ def documents(spark, rows, extra: bool = False):
     full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or "")) for r in rows]
     df = spark.createDataFrame(full, SCHEMA)
     if extra:
-        for name in ("score", "fingerprint", "component_id", "size", "copies", "salt", "keeper", "bad_id", "slot", "tokens", "found"):
+        for name in ("score", "fingerprint", "component_id", "size", "copies", "salt", "keeper", "bad_id", "slot", "tokens", "found", "runs", "collapsed", "bits", "s", "n", "z", "t", "c", "a", "b", "__s", "row_hash", "text_hash", "shard", "record"):
             df = df.selectExpr("*", f"'kept' as {name}")
     return df
 
