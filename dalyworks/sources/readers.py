@@ -1,4 +1,4 @@
-"""Scans of the inputs from CSV or Parquet.
+"""Scans of the inputs from CSV, Parquet or .xlsx workbooks.
 
 Schemas are declared, never inferred. Columns are found by name, wherever they
 stand. In CSV text, ``NA`` and nothing mean a missing value; anything else that is
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import codes
-from . import schemas
+from . import schemas, workbook
 
 
 MISSING = "NA"
@@ -25,8 +25,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**options).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
-    """The columns of ``schema``, by name; further columns are left out."""
+def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", sheet: int | str = 1) -> DataFrame:
+    """The columns of ``schema``, by name; further columns are left out. ``sheet`` is for "xlsx"."""
+    if fmt == "xlsx":
+        return workbook.read_sheet(spark, path, schema, sheet)
     stored = read_text(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
     absent = [f.name for f in schema if f.name not in stored.columns]
     if absent:
@@ -39,17 +41,17 @@ def read_gbd(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_table(spark, path, schemas.GBD, fmt)
 
 
-def read_crosswalk(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.CROSSWALK, fmt)
+def read_crosswalk(spark: SparkSession, path: str, fmt: str = "parquet", sheet: int | str = 1) -> DataFrame:
+    return read_table(spark, path, schemas.CROSSWALK, fmt, sheet)
 
 
-def read_income(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_income(spark: SparkSession, path: str, fmt: str = "parquet", sheet: int | str = 1) -> DataFrame:
     """Income levels of one year; ``income_levels`` takes them from a history."""
-    return read_table(spark, path, schemas.INCOME, fmt)
+    return read_table(spark, path, schemas.INCOME, fmt, sheet)
 
 
-def read_region(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.REGION, fmt)
+def read_region(spark: SparkSession, path: str, fmt: str = "parquet", sheet: int | str = 1) -> DataFrame:
+    return read_table(spark, path, schemas.REGION, fmt, sheet)
 
 
 def read_boundary(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -62,8 +64,10 @@ def read_inputs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return read_table(spark, path, schemas.INPUTS, fmt)
 
 
-def read_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Indicator table with one column per year, as text when read from CSV."""
+def read_wide(spark: SparkSession, path: str, fmt: str = "csv", sheet: int | str = 1) -> DataFrame:
+    """Indicator table with one column per year, as text when read from CSV or a workbook."""
+    if fmt == "xlsx":
+        return workbook.read_wide_sheet(spark, path, sheet)
     if fmt == "csv":
         return read_text(spark, path)
     return spark.read.format(fmt).load(path)

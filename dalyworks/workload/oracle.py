@@ -503,6 +503,10 @@ FINAL: dict[str, str] = {
         FROM gbd g LEFT JOIN crosswalk c USING (location_id) LEFT JOIN income i ON i.iso_code IS NOT DISTINCT FROM c.iso_code""",
     "nullsafe_join": """SELECT location_id, c.iso_code, income_level, count(*) AS rows FROM gbd LEFT JOIN crosswalk c USING (location_id)
         LEFT JOIN income i ON i.iso_code IS NOT DISTINCT FROM c.iso_code GROUP BY ALL""",
+    "workbook_dims": """SELECT location_id, location_name, c.iso_code, sex_id, income_level, who_region, ihme_region, people
+        FROM crosswalk c JOIN people USING (location_id)
+        LEFT JOIN (SELECT DISTINCT * FROM income) i ON i.iso_code IS NOT DISTINCT FROM c.iso_code
+        LEFT JOIN region_dim d ON d.iso_code IS NOT DISTINCT FROM c.iso_code""",
     "iso_repair": """SELECT gu_a3, adm0_a3, p.iso_code, sex_id, people FROM polygons p
         LEFT JOIN (SELECT iso_code, sex_id, people FROM people JOIN crosswalk USING (location_id)) c ON c.iso_code IS NOT DISTINCT FROM p.iso_code""",
     "scan_gdp": f"SELECT iso_code, {r('gdp', 2)} AS gdp FROM gdp",

@@ -16,7 +16,7 @@ from ..operators import attribution, charts, compare, dimensions, draws, evidenc
 from ..plans import burden, headlines, report, sensitivity, tables
 from ..plans.burden import Inputs
 from ..runtime import shared_path, stage
-from ..sources import readers
+from ..sources import readers, workbook
 from ..sources.order_tables import OrderTables
 from ..sources.sinks import with_row_index
 
@@ -127,6 +127,19 @@ def nullsafe_join(c):
     return joined.groupBy("location_id", "iso_code", "income_level").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def workbook_dims(c):
+    """People by the dimensions of their places, which come from the sheets of one workbook."""
+    t, path = c.tables, shared_path(c.spark, "dims") + ".xlsx"
+    history = t.income.select("iso_code", F.lit("L").alias("2018"), F.col("income_level").alias("2019"))
+    workbook.write_workbook({"crosswalk": t.crosswalk, "history": history, "regions": t.region}, path)
+    income = readers.income_levels(readers.read_wide(c.spark, path, "xlsx", sheet=2)).distinct()
+    located = readers.read_crosswalk(c.spark, path, "xlsx").join(t.population, "location_id")
+    found = null_safe_join(located, income, "iso_code")
+    found = null_safe_join(found, readers.read_region(c.spark, path, "xlsx", sheet="regions"), "iso_code")
+    return found.select("location_id", "location_name", "iso_code", "sex_id", "income_level", "who_region", "ihme_region", "people")
+
+
 @query
 def iso_repair(c):
     """Every customer's polygon, counted per repaired code."""
