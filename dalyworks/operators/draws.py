@@ -7,6 +7,8 @@ and drawing is a narrow step.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,28 @@ def wide_risk(ids: DataFrame, seed: int = codes.DRAW_SEED, deaths=None) -> DataF
     ).drop("u1", "u2", "u3", "u4")
 
 
+#: Draws of one place that leave a row together; only bounds the size of a row.
+CHUNK = 4096
+
+
+def place_draws(places: DataFrame, keys: Sequence[str], count: int, chunk: int = CHUNK) -> DataFrame:
+    """``places`` with ``count`` draws each: ``draw_id``, its place and a number from 0.
+
+    A draw's id is made of its place's ``keys`` and its number, so that places draw independently
+    and any partitioning gives the same values. Nothing is stored: chunks of numbers are dealt
+    out over the tasks and become draws as they are read, so that what follows can fold them
+    with map-side state. A place with many draws spreads over as many tasks as it has chunks.
+    """
+    chunks = F.sequence(F.lit(0), F.lit((max(count, 1) - 1) // chunk))
+    dealt = places.withColumn("__chunk", F.explode(chunks)).repartition(*keys, "__chunk")
+    first = F.col("__chunk").cast("long") * chunk
+    numbers = F.sequence(first, F.least(first + chunk, F.lit(count)) - 1)
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    named = F.concat_ws("-", *parts, F.col("draw_no").cast("string"))
+    drawn = dealt.filter(F.lit(count) > 0).withColumn("draw_no", F.explode(numbers)).withColumn("draw_id", named)
+    return drawn.drop("__chunk")
+
+
 def attributable_deaths(draws: DataFrame) -> DataFrame:
     """Both formulas per draw as rows: (formula, paf, deaths_mh)."""
     rows = []

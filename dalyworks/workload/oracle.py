@@ -313,6 +313,17 @@ DEATHS = f"val + {{z}} * ((upper - lower) / {SD})"
 CTES["scenario1"] = f"""
 SELECT {PLACE}, f + z1 * ((f * 1.1::DOUBLE - f * 0.9::DOUBLE) / {SD}) AS prevalence,
        {RISK.format(z='z2')} AS relative_risk, {DEATHS.format(z='z3')} AS deaths FROM order_params"""
+CTES["place_params"] = """
+SELECT coalesce(ps.location_id, n.location_id) AS location_id, coalesce(ps.sex_id, n.sex_id) AS sex_id, coalesce(ps.year, n.year) AS year, f, n.val, n.upper, n.lower
+FROM prev_share ps FULL JOIN (SELECT * FROM numbers WHERE measure_id = 1 AND cause_id = 294) n
+  ON n.location_id = ps.location_id AND n.sex_id = ps.sex_id AND n.year = ps.year"""
+CTES["place_ids"] = """
+SELECT *, location_id || '-' || sex_id || '-' || year || '-' || no AS draw_id FROM (SELECT *, unnest(range(1000)) AS no FROM place_params)"""
+CTES["place_uniforms"] = "SELECT *, " + ", ".join(
+    f"(('0x' || substr(md5(draw_id || ':82420212'), {8 * k + 1}, 8))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u{k + 1}" for k in range(4)
+) + " FROM place_ids"
+CTES["place_normals"] = CTES["normals"].replace("FROM uniforms", "FROM place_uniforms")
+CTES["place_scenario"] = CTES["scenario1"].replace("FROM order_params", "FROM place_normals")
 CTES["scenario2"] = f"""
 SELECT {PLACE}, 0.01::DOUBLE + u1 * (0.2::DOUBLE - 0.01::DOUBLE) AS prevalence,
        (CAST([0.5, 1.0, 1.5, 2.0, 2.5, 3.0] AS DOUBLE[]))[(floor(u2 * 6) + 1)::INTEGER] AS relative_risk,
@@ -634,6 +645,23 @@ FINAL: dict[str, str] = {
         f", {r('max(deaths_mh)', 6)} AS largest, max(deaths_mh) AS biggest",
     ) + ")",
 }
+FINAL["mc_place_range"] = (
+    "SELECT location_id, sex_id, year, formula, count(deaths_mh) AS draws, "
+    + ", ".join(f"{r(f'{f}(deaths_mh)', 6)} AS {n}" for f, n in (("avg", "mean"), ("stddev_samp", "sd"), ("min", "smallest"), ("max", "largest")))
+    + f" FROM ({paf_rows('place_scenario', 'location_id, sex_id, year,')}) GROUP BY ALL"
+)
+FINAL["mc_sketch_runs"] = summary("location_id, formula", "deaths_mh", paf_rows("scenario1", "location_id,"), 6, ", CASE WHEN count(deaths_mh) > 0 THEN true END AS within").replace(
+    f"{r('avg(deaths_mh)', 6)} AS mean, {r('stddev_samp(deaths_mh)', 6)} AS sd, ", ""
+)
+FINAL["asof_indicator"] = f"""WITH placed AS (SELECT o_orderkey, c_nationkey + 2 AS location_id, o_orderdate::DATE AS day, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey),
+    known AS (SELECT location_id, (date_trunc('month', day) + INTERVAL 1 MONTH)::DATE AS known_on, sum(CAST(o_totalprice AS DECIMAL(18, 4)))::DOUBLE AS turnover
+        FROM placed WHERE (month(day) + location_id) % 3 = 0 GROUP BY ALL)
+    SELECT o_orderkey, p.location_id, day::VARCHAR AS day, known_on::VARCHAR AS known_on, {r('turnover', 2)} AS turnover
+    FROM placed p ASOF LEFT JOIN known k ON p.location_id = k.location_id AND p.day >= k.known_on"""
+FINAL["interval_overlap"] = f"""WITH rates AS (SELECT DISTINCT measure_id, sex_id, year, location_id, val, lower, upper FROM gbd WHERE cause_id = 294 AND metric_id = 3)
+    SELECT p.measure_id, p.sex_id, p.year, p.location_id, {r('p.val', 6)} AS rate, count(*) AS holders, min(i.location_id) AS first_holder, max(i.location_id) AS last_holder
+    FROM rates p JOIN rates i ON i.measure_id = p.measure_id AND i.sex_id = p.sex_id AND i.year = p.year AND p.val BETWEEN i.lower AND i.upper
+    GROUP BY p.measure_id, p.sex_id, p.year, p.location_id, p.val"""
 FINAL["report_table1"] = FINAL["table1_indexed"]
 FINAL["report_appendix"] = FINAL["table_appendix"]
 
@@ -654,5 +682,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, final in FINAL.items():
         shared = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in _closure(final))
-        out[name] = f"WITH {shared}\nSELECT * FROM (\n{final.strip()}\n)"
+        out[name] = (f"WITH {shared}\n" if shared else "") + f"SELECT * FROM (\n{final.strip()}\n)"
     return out

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import codes
+from ..functions.exact import exact_sum
 from ..functions.joins import null_safe_join
 from ..functions.nulls import na_rm_sum, na_sum, ratio
 from ..functions.reshape import column_range
-from ..operators import attribution, charts, compare, dimensions, draws, evidence, rollup, valuation
+from ..operators import attribution, charts, compare, dimensions, draws, evidence, rollup, sketches, temporal, valuation
 from ..plans import burden, headlines, report, sensitivity, tables
 from ..plans.burden import Inputs
 from ..runtime import shared_path, stage
@@ -426,7 +427,7 @@ def pct_gdp_clamped(c):
 
 def _region_map(c):
     """The places on the map, and the results of their regions."""
-    places = burden.regional(c.inputs)
+    places = stage(burden.regional(c.inputs), "places")
     results = compare.diff_from_baseline(rollup.region_rollup(places), burden.REGION_KEYS)
     return dimensions.map_join(c.inputs.boundary, places), results
 
@@ -572,11 +573,41 @@ def report_appendix(c):
     )
 
 
+# ---- joins by time and by interval ----------------------------------------------------
+
+
+@query
+def asof_indicator(c):
+    """Each order with its place's latest monthly turnover, known for every third month only."""
+    customers = c.tables.table("customer").select("c_custkey", (F.col("c_nationkey") + 2).alias("location_id"))
+    orders = c.tables.table("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    month = F.trunc("day", "month")
+    sums = orders.filter((F.month("day") + F.col("location_id")) % 3 == 0).groupBy("location_id", F.add_months(month, 1).alias("known_on"))
+    known = sums.agg((exact_sum("o_totalprice")).cast("double").alias("turnover"))
+    found = temporal.asof_join(orders.drop("o_totalprice"), known, ["location_id"], "day", "known_on", ["turnover"])
+    return rounded(found.select("o_orderkey", "location_id", F.col("day").cast("string").alias("day"), F.col("known_on").cast("string").alias("known_on"), "turnover"), {"turnover": 2})
+
+
+@query
+def interval_overlap(c):
+    """For each place's rate the places whose uncertainty interval holds it, in its measure and slice."""
+    rates = c.tables.gbd.filter((F.col("cause_id") == codes.ALL_CAUSES) & (F.col("metric_id") == codes.RATE)).dropDuplicates(["measure_id", "location_id", *SLICES])
+    rates = stage(rates.select("measure_id", *SLICES, "location_id", "val", "lower", "upper"), "rates")
+    keys = ["measure_id", *SLICES]
+    held = temporal.interval_join(
+        rates.select(*keys, "location_id", F.col("val").alias("rate")), rates.select(*keys, F.col("location_id").alias("other"), "lower", "upper"), keys, "rate", "lower", "upper", 0.01
+    )
+    return rounded(
+        held.groupBy(*keys, "location_id", "rate").agg(F.count(F.lit(1)).alias("holders"), F.min("other").alias("first_holder"), F.max("other").alias("last_holder")), {"rate": 6}
+    )
+
+
 # ---- uncertainty draws: one draw per order ------------------------------------------
 
 
-def _orders(c):
-    """Orders as draws, with the prevalence and deaths of their place and slice."""
+def _places(c):
+    """Prevalence and deaths of each place and slice, with their bounds."""
     keys = ["location_id", *SLICES]
     prevalence = readers.prevalence(c.tables.gbd_prev).groupBy(*keys)
     prevalence = prevalence.pivot("numeric_name", list(codes.BOUNDS)).agg(F.max("prevalence"))
@@ -584,10 +615,14 @@ def _orders(c):
         (F.col("cause_id") == codes.ALL_CAUSES) & (F.col("measure_id") == codes.DEATHS)
     ).select(*keys, *[F.col(b).alias(f"deaths_{b}") for b in codes.BOUNDS])
     # One row per place and slice. An order whose place lacks one of them stays, without values.
-    places = stage(prevalence.join(deaths, keys, "full"), "place-parameters")
+    return stage(prevalence.join(deaths, keys, "full"), "place-parameters")
+
+
+def _orders(c):
+    """Orders as draws, with the prevalence and deaths of their place and slice."""
     return c.tables.order_places.select(
         F.col("o_orderkey").alias("draw_id"), (F.col("nation") + 2).alias("location_id"), *SLICES
-    ).join(places, keys, "left")
+    ).join(_places(c), ["location_id", *SLICES], "left")
 
 
 PREVALENCE = ("val", "lower", "upper")
@@ -604,7 +639,9 @@ def _drawn(c, scenario):
     return made.select("draw_id", "location_id", *SLICES, "prevalence", "relative_risk", "deaths")
 
 
-SUMMARY_DIGITS = {"mean": 6, "sd": 6, "p025": 6, "p500": 6, "p975": 6, "largest": 6, "axis_limit": 8}
+#: The published number of draws.
+PLACE_DRAWS = 1000
+SUMMARY_DIGITS = {"smallest": 6, "mean": 6, "sd": 6, "p025": 6, "p500": 6, "p975": 6, "largest": 6, "axis_limit": 8}
 
 
 @query
@@ -613,6 +650,33 @@ def mc_ci(c):
     return rounded(sensitivity.deaths_summary(_drawn(c, 1), ["location_id", *SLICES]), SUMMARY_DIGITS)
 
 
+@query
+def mc_place_range(c):
+    """The published number of draws for each place and slice, made from a range and folded at once."""
+    keys = ["location_id", *SLICES]
+    ids = draws.place_draws(_places(c), keys, PLACE_DRAWS)
+    made = draws.published_intervals(ids, prevalence=tuple(F.col(p) for p in PREVALENCE), deaths=tuple(F.col(d) for d in DEATHS))
+    long = draws.attributable_deaths(made.select(*keys, "prevalence", "relative_risk", "deaths"))
+    moments = {"draws": F.count("deaths_mh"), "mean": F.avg("deaths_mh"), "sd": F.stddev_samp("deaths_mh"), "smallest": F.min("deaths_mh"), "largest": F.max("deaths_mh")}
+    return rounded(long.groupBy(*keys, "formula").agg(*[m.alias(n) for n, m in moments.items()]), SUMMARY_DIGITS)
+
+
+@query
+def mc_sketch_runs(c):
+    """Quantile states of two runs, stored and merged over runs and slices, beside the exact quantiles."""
+    fine, coarse = ["location_id", *SLICES, "formula"], ["location_id", "formula"]
+    drawn = stage(draws.attributable_deaths(_drawn(c, 1)).select("draw_id", *fine, "deaths_mh"), "drawn")
+    path = shared_path(c.spark, "states")
+    for run in (0, 1):
+        sketches.add_run(sketches.quantile_states(drawn.filter(F.col("draw_id") % 2 == run), fine, "deaths_mh"), path, str(run))
+    merged = sketches.merge_states(sketches.stored_states(c.spark, path), coarse)
+    estimates = stage(sketches.state_quantiles(merged, sensitivity.INTERVAL), "estimates")
+    fits = sketches.within_rank_error(drawn, estimates, coarse, "deaths_mh", sensitivity.INTERVAL, 2 * sketches.rank_error())
+    exact = sensitivity.grouped_quantiles(drawn, coarse, "deaths_mh", sensitivity.INTERVAL)
+    found = exact.join(estimates.select(*coarse, "draws"), coarse).join(fits, coarse, "left")
+    return rounded(found.select(*coarse, "draws", *sensitivity.INTERVAL, "within"), SUMMARY_DIGITS)
+
+
 def _long(c, scenario):
     long = draws.attributable_deaths(_drawn(c, scenario))
     digits = {"prevalence": 10, "relative_risk": 10, "deaths": 6, "paf": 10, "deaths_mh": 6}
