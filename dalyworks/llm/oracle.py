@@ -121,5 +121,40 @@ walk AS (SELECT w, w AS place, form AS onward FROM forms UNION ALL SELECT walk.w
 SELECT forms.w AS word, form, place AS root, n, n_near, form_n FROM forms JOIN walk ON walk.w = forms.w AND walk.onward IS NULL"""
 
 
+def _placed(kind: str, pattern: str) -> str:
+    """SQL for (r, k, i, m, e): the matches of ``pattern`` and where they end, by the gaps between them."""
+    return f"""SELECT r, {kind} AS k, i, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
+      SELECT r, i, ms[i] AS m, gs[i] AS g FROM (
+        SELECT *, unnest(range(1, length(ms) + 1)) AS i FROM (
+          SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM docs)))"""
+
+
+_ASSIGN = """(?i:(?:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_WORDS = "(?i:example|placeholder|changeme|your_|xxxx|test|abcdefgh|012345|lorem)"
+
+#: The value of an assignment is what its last separator and quote leave.
+SECRET_SCAN = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+candidates AS ({_placed("3", "[A-Za-z0-9+/_=-]{20,}")}),
+parts AS (SELECT r, i, part FROM (SELECT r, i, unnest(string_split_regex(m, '{_WORDS}')) AS part FROM candidates)
+  WHERE length(part) >= 20 AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Za-z]')),
+windows AS (SELECT r, i, part, unnest(range(1, (length(part) - 18)::BIGINT)) AS p FROM parts),
+bits AS (SELECT r, i, max(list_entropy(string_split(substr(part, p, 20), ''))) >=
+  CASE WHEN regexp_full_match(part, '[0-9a-fA-F]+') THEN 3.0 WHEN regexp_full_match(part, '[A-Za-z0-9]+') THEN 3.7 ELSE 3.9 END AS high
+  FROM windows GROUP BY r, i, part),
+found AS (
+  SELECT * FROM ({_placed("0", _ASSIGN)}) WHERE length(regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 8
+  UNION ALL {_placed("1", "AKIA[A-Z0-9]{12,}")}
+  UNION ALL {_placed("2", "[0-9a-f]{32,}")}
+  UNION ALL SELECT * FROM candidates SEMI JOIN (SELECT r, i FROM bits WHERE high) USING (r, i)),
+named AS (SELECT r, k, e - length(m) AS s, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || (e - length(m))::BIGINT || ':' || e::BIGINT AS name FROM found),
+sums AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(name, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(name, ',' ORDER BY s, k) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN sums USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT, "op11_periodic_runs": PERIODIC_RUNS, "op13_spelling_variants": SPELLING_VARIANTS}
+    return {"op3_exact_repeats": EXACT_REPEATS, "op4_decontamination": DECONTAMINATION, "op8_secret_scan": SECRET_SCAN, "op10_chat_format": CHAT_FORMAT, "op11_periodic_runs": PERIODIC_RUNS, "op13_spelling_variants": SPELLING_VARIANTS}

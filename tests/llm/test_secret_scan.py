@@ -39,7 +39,23 @@ def test_base_spans(spark):
 def test_entropy_spans(spark):
     rows = [(1, f"x {RANDOM} y"), (2, f"{RANDOM}example"), (3, "a1" * 15), (4, "plainwordsonlywithoutdigits"), (5, None), (6, RANDOM[:19])]
     found = {r.doc_id: r.spans for r in secret_scan.secrets(documents(spark, rows)).collect()}
-    assert found == {1: "entropy:2:22", 2: "", 3: "", 4: "", 5: "", 6: ""}
+    assert found == {1: "entropy:2:22", 2: "entropy:0:27", 3: "", 4: "", 5: "", 6: ""}
+
+
+def test_listed_words_mute_their_windows_only(spark):
+    half = RANDOM[:10]
+    rows = [(1, f"latest/{RANDOM}/contest"), (2, half + "example" + RANDOM[10:]), (3, "Test" * 9 + "1"), (4, "id-0123456789012345678901")]
+    found = {r.doc_id: r.spans for r in secret_scan.secrets(documents(spark, rows)).collect()}
+    assert found == {1: "entropy:0:35", 2: "", 3: "", 4: ""}
+    assert secret_scan.find_secrets(documents(spark, rows[:2]), allowed=()).where("size(found) = 1").count() == 2
+
+
+def test_long_strings_and_many_matches(spark):
+    long = "zb1" * 333_333
+    rows = [(1, long + RANDOM), (2, "f" * 1_000_000), (3, "token=abcdefgh9 " * 30_000), (4, "x" * 999_980 + RANDOM)]
+    found = {r.doc_id: r for r in secret_scan.secrets(documents(spark, rows)).collect()}
+    assert found[1].spans == f"entropy:0:{len(long) + 20}" and found[2].spans == "hex:0:1000000" and found[4].spans == f"entropy:0:{len(rows[3][1])}"
+    assert found[3].n_assign == 30_000 and found[3].base_sha256 == plain(rows[2][1])[1]
 
 
 def plain_entropy(text, width=20):
