@@ -105,14 +105,8 @@ def components(edges: DataFrame, first: str, second: str) -> DataFrame:
         .where(F.col(first).isNotNull() & F.col(second).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    now, seen = staged(pairs, "edges"), None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        seen = mark
+    now = staged(pairs, "edges")
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "minima")
         large = (
@@ -125,3 +119,12 @@ def components(edges: DataFrame, first: str, second: str) -> DataFrame:
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         now = staged(small.select("e.*").where("u != v").distinct(), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node ``u`` has one edge, to a node that has none."""
+    chain = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+    return chain.isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty()
