@@ -24,3 +24,21 @@ def diff_from_baseline(df: DataFrame, keys: Sequence[str], metrics: Sequence[str
             for m in metrics
         }
     )
+
+
+def yearly_change(df: DataFrame, keys: Sequence[str], value: str, year: str = "year", frame: int = 3) -> DataFrame:
+    """Add the change from the year before and the mean of the last ``frame`` years.
+
+    Years are told by their number, not by the row before: a year that is missing, or has no
+    value, gives a NULL change in the next one; the mean is of the years present, with their
+    count. ``keys`` and ``year`` identify a row, so a partition holds a row a year.
+    """
+    along = Window.partitionBy(*keys).orderBy(year)
+    before, last = along.rangeBetween(-1, -1), along.rangeBetween(1 - frame, 0)
+    return df.withColumns(
+        {
+            f"{value}_change": F.col(value) - F.first(value).over(before),
+            f"{value}_mean": F.avg(value).over(last),
+            f"{value}_years": F.count(value).over(last),
+        }
+    )

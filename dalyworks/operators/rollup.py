@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import codes
@@ -171,3 +171,24 @@ def level_rollup(df: DataFrame, slices: Sequence[str] = codes.SLICES, costs: boo
         for cost in codes.COSTS
     ]
     return rates.select(*keys, "number", "measure_total", "percent", "gdp", *by_level)
+
+
+def cube_sums(df: DataFrame, dims: Sequence[str], strict: Sequence[str], loose: Sequence[str] = (), level: str = "level") -> DataFrame:
+    """Sums over every subset of ``dims``, in one pass over ``df``.
+
+    ``strict`` columns are NULL as soon as one value of the cell is, ``loose`` ones (named
+    ``<column>_known``) skip missing values. ``level`` has a bit for each dimension that a row
+    sums over, the first dimension the highest, and tells a total from a missing key.
+    """
+    sums = [na_sum(c).alias(c) for c in strict] + [na_rm_sum(c).alias(f"{c}_known") for c in loose]
+    return df.cube(*dims).agg(F.grouping_id().cast("int").alias(level), *sums)
+
+
+def top_places(df: DataFrame, within: Sequence[str], value: str, k: int, name: str = "place_rank") -> DataFrame:
+    """The rows of the ``k`` largest values of each group, with their rank; ties share one and all stay.
+
+    Rows without a value have no rank and go. Each task first keeps the ranks up to ``k`` of what
+    it holds, so a group of any size sends k rows a task, ties aside, and is never sorted as a whole.
+    """
+    order = Window.partitionBy(*within).orderBy(F.col(value).desc())
+    return df.filter(F.col(value).isNotNull()).withColumn(name, F.rank().over(order)).filter(F.col(name) <= k)

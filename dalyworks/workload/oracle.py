@@ -653,6 +653,20 @@ FINAL["mc_place_range"] = (
 FINAL["mc_sketch_runs"] = summary("location_id, formula", "deaths_mh", paf_rows("scenario1", "location_id,"), 6, ", CASE WHEN count(deaths_mh) > 0 THEN true END AS within").replace(
     f"{r('avg(deaths_mh)', 6)} AS mean, {r('stddev_samp(deaths_mh)', 6)} AS sd, ", ""
 )
+CTES["place_years"] = """
+SELECT location_id, sex_id, year, val AS number, val * gdp / 1e9::DOUBLE AS priced
+FROM numbers JOIN crosswalk USING (location_id) LEFT JOIN gdp USING (iso_code) WHERE cause_id = 294 AND measure_id = 2 AND location_id > 1"""
+FINAL["burden_cube"] = f"""SELECT location_id, sex_id, year, grouping(location_id, sex_id, year)::INTEGER AS level, {r(na_sum('number'), 2)} AS number,
+    {r(na_sum('priced'), 2)} AS priced, {r('coalesce(sum(priced), 0)', 2)} AS priced_known FROM place_years GROUP BY CUBE (location_id, sex_id, year)"""
+FINAL["yearly_change"] = f"""WITH known AS (SELECT location_id, sex_id, year, number FROM place_years WHERE (location_id + year) % 5 <> 0)
+    SELECT k.location_id, k.sex_id, k.year, {r('k.number', 2)} AS number, {r('k.number - b.number', 2)} AS number_change,
+    (SELECT {r('avg(m.number)', 2)} FROM known m WHERE m.location_id = k.location_id AND m.sex_id = k.sex_id AND m.year BETWEEN k.year - 2 AND k.year) AS number_mean,
+    (SELECT count(m.number) FROM known m WHERE m.location_id = k.location_id AND m.sex_id = k.sex_id AND m.year BETWEEN k.year - 2 AND k.year) AS number_years
+    FROM known k LEFT JOIN known b ON b.location_id = k.location_id AND b.sex_id = k.sex_id AND b.year = k.year - 1"""
+FINAL["largest_places"] = """SELECT sex_id, year, location_id, thousands, (1 + above)::INTEGER AS place_rank FROM (
+    SELECT p.sex_id, p.year, p.location_id, floor(p.number / 1000)::INTEGER AS thousands,
+      (SELECT count(*) FROM place_years o WHERE o.sex_id = p.sex_id AND o.year = p.year AND floor(o.number / 1000) > floor(p.number / 1000)) AS above
+    FROM place_years p) WHERE above < 3"""
 FINAL["asof_indicator"] = f"""WITH placed AS (SELECT o_orderkey, c_nationkey + 2 AS location_id, o_orderdate::DATE AS day, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey),
     known AS (SELECT location_id, (date_trunc('month', day) + INTERVAL 1 MONTH)::DATE AS known_on, sum(CAST(o_totalprice AS DECIMAL(18, 4)))::DOUBLE AS turnover
         FROM placed WHERE (month(day) + location_id) % 3 = 0 GROUP BY ALL)

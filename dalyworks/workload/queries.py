@@ -573,6 +573,40 @@ def report_appendix(c):
     )
 
 
+# ---- cubes, years and largest places ---------------------------------------------------
+
+
+def _place_years(c):
+    """All-cause DALYs of each place and slice, with the burden's value at the place's GDP where it is known."""
+    dalys = c.tables.numbers.filter((F.col("cause_id") == codes.ALL_CAUSES) & (F.col("measure_id") == codes.DALYS) & (F.col("location_id") > 1))
+    located = dalys.select("location_id", *SLICES, F.col("val").alias("number")).join(c.tables.crosswalk.select("location_id", "iso_code"), "location_id")
+    priced = null_safe_join(located, c.gdp, "iso_code")
+    return priced.select("location_id", *SLICES, "number", (F.col("number") * F.col("gdp") / 1e9).alias("priced"))
+
+
+CUBE_DIGITS = {"number": 2, "priced": 2, "priced_known": 2, "number_change": 2, "number_mean": 2}
+
+
+@query
+def burden_cube(c):
+    """Sums over every subset of sex, year and place, by both rules for missing values."""
+    return rounded(rollup.cube_sums(_place_years(c), ["location_id", *SLICES], ["number", "priced"], ["priced"]), CUBE_DIGITS)
+
+
+@query
+def yearly_change(c):
+    """Change and moving mean by year, place and sex; every fifth year of a place is not known."""
+    known = _place_years(c).filter((F.col("location_id") + F.col("year")) % 5 != 0).drop("priced")
+    return rounded(compare.yearly_change(known, ["location_id", "sex_id"], "number"), CUBE_DIGITS)
+
+
+@query
+def largest_places(c):
+    """The three places of most DALYs in each slice; counts of thousands, so that places tie."""
+    coarse = _place_years(c).select(*SLICES, "location_id", F.floor(F.col("number") / 1000).cast("int").alias("thousands"))
+    return rollup.top_places(coarse, SLICES, "thousands", 3)
+
+
 # ---- joins by time and by interval ----------------------------------------------------
 
 
