@@ -1,4 +1,4 @@
-"""Quantile sketches as stored, mergeable states.
+"""Quantile and distinct-count sketches as stored, mergeable states.
 
 A state summarises the values of one group in a few kilobytes, whatever their number. States
 are made with partial aggregation where the values are read, stored by run, and merged over
@@ -86,3 +86,27 @@ def within_rank_error(df: DataFrame, estimates: DataFrame, keys: Sequence[str],
     for q, p in quantiles.items():
         fits = fits & (F.col(f"__{q}_below") <= (p + bound) * F.col("__n")) & (F.col(f"__{q}_upto") >= (p - bound) * F.col("__n"))
     return counts.select(*keys, fits.alias("within"))
+
+
+#: Logarithm of the number of registers of a distinct-count state.
+REGISTERS = 12
+
+
+def distinct_error(registers: int = REGISTERS) -> float:
+    """Relative standard error of the count of a state, merged or not."""
+    return 1.04 / 2 ** (registers / 2)
+
+
+def distinct_states(df: DataFrame, keys: Sequence[str], value: str, registers: int = REGISTERS) -> DataFrame:
+    """(keys, members): a state of the distinct non-NULL values of each group, the same for any order of rows."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(value, registers).alias("members"))
+
+
+def unite_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of the coarser groups ``keys``; a value that lies in several states counts once."""
+    return states.groupBy(*keys).agg(F.hll_union_agg("members").alias("members"))
+
+
+def distinct_count(members: str = "members") -> Column:
+    """The estimated number of distinct values of a state."""
+    return F.hll_sketch_estimate(members)

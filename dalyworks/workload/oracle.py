@@ -667,6 +667,8 @@ FINAL["largest_places"] = """SELECT sex_id, year, location_id, thousands, (1 + a
     SELECT p.sex_id, p.year, p.location_id, floor(p.number / 1000)::INTEGER AS thousands,
       (SELECT count(*) FROM place_years o WHERE o.sex_id = p.sex_id AND o.year = p.year AND floor(o.number / 1000) > floor(p.number / 1000)) AS above
     FROM place_years p) WHERE above < 3"""
+FINAL["distinct_customers"] = """SELECT c_nationkey + 2 AS location_id, year(o_orderdate)::INTEGER AS year, count(DISTINCT o_custkey) AS customers, true AS within
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL"""
 FINAL["asof_indicator"] = f"""WITH placed AS (SELECT o_orderkey, c_nationkey + 2 AS location_id, o_orderdate::DATE AS day, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey),
     known AS (SELECT location_id, (date_trunc('month', day) + INTERVAL 1 MONTH)::DATE AS known_on, sum(CAST(o_totalprice AS DECIMAL(18, 4)))::DOUBLE AS turnover
         FROM placed WHERE (month(day) + location_id) % 3 = 0 GROUP BY ALL)

@@ -607,6 +607,20 @@ def largest_places(c):
     return rollup.top_places(coarse, SLICES, "thousands", 3)
 
 
+@query
+def distinct_customers(c):
+    """Customers with orders by place and year: states of months united, beside the exact count."""
+    customers = c.tables.table("customer").select("c_custkey", (F.col("c_nationkey") + 2).alias("location_id"))
+    orders = c.tables.table("orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    placed = stage(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("location_id", "year", "month", "o_custkey"), "placed")
+    keys = ["location_id", "year"]
+    months = stage(sketches.distinct_states(placed, [*keys, "month"], "o_custkey"), "members")
+    told = sketches.unite_states(months, keys).select(*keys, sketches.distinct_count().alias("told"))
+    exact = placed.groupBy(*keys).agg(F.countDistinct("o_custkey").alias("customers"))
+    within = F.abs(F.col("told") - F.col("customers")) <= F.greatest(F.lit(1.0), 5 * sketches.distinct_error() * F.col("customers"))
+    return exact.join(told, keys).select(*keys, "customers", within.alias("within"))
+
+
 # ---- joins by time and by interval ----------------------------------------------------
 
 

@@ -39,6 +39,18 @@ def test_null_values_and_groups(spark):
     assert sketches.state_quantiles(sketches.quantile_states(df.limit(0), ["g"], "x"), Q).collect() == []
 
 
+def test_distinct_states_unite_without_counting_twice(spark):
+    df = spark.range(300_000).selectExpr("id % 5 AS part", "id % 2 AS g", "id % 90000 AS v")
+    states = sketches.distinct_states(df, ["part", "g"], "v")
+    found = {r.g: r.n for r in sketches.unite_states(states, ["g"]).select("g", sketches.distinct_count().alias("n")).collect()}
+    exact = {r.g: r.n for r in df.groupBy("g").agg(F.countDistinct("v").alias("n")).collect()}
+    assert all(abs(found[g] - n) < 5 * sketches.distinct_error() * n for g, n in exact.items())
+    again = sketches.distinct_states(df.repartition(7), ["g"], "v").select("g", sketches.distinct_count().alias("n"))
+    assert all(abs(r.n - found[r.g]) < 0.02 * found[r.g] for r in again.collect())
+    few = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("n", None)], "g string, v int")
+    assert {r.g: r.n for r in sketches.distinct_states(few, ["g"], "v").select("g", sketches.distinct_count().alias("n")).collect()} == {"a": 1, "n": 0}
+
+
 def test_place_draws_are_the_same_for_any_layout(spark):
     places = spark.createDataFrame([(1, 2000, 0.1), (2, 2000, 0.2), (None, 2001, 0.3)], "place int, year int, share double")
     made = {}
