@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 from helpers import awkward, documents, prose
@@ -108,7 +110,8 @@ def test_held_out_documents_are_told_apart(spark):
     assert all(r.score < 0.3 for r in X.with_score(docs.where("doc_id % 3 <> 0"), net).collect())
 
 
-def test_awkward_rows_and_columns(spark):
+def test_awkward_rows_and_columns(spark, monkeypatch):
+    monkeypatch.setattr(X, "fit", functools.partial(X.fit, rounds=1, steps=20))
     net = X.new_net() | {"scale": np.ones(1), "base": np.zeros(1)}
     rows = awkward()
     docs = documents(spark, rows, extra=True).withColumn("held_out", F.lit("x"))
@@ -123,7 +126,8 @@ def test_awkward_rows_and_columns(spark):
     assert {round(r.score, 6) for r in X.toxicity(docs, one).collect()} == {round(1 / 3, 6)}
 
 
-def test_labels_of_held_out_rows_are_not_used(spark):
+def test_labels_of_held_out_rows_are_not_used(spark, monkeypatch):
+    monkeypatch.setattr(X, "fit", functools.partial(X.fit, rounds=1, steps=20))
     rows, labels = training()
     docs = documents(spark, rows[:60])
     table = spark.createDataFrame(labels[:60], "doc_id long, quality int, toxic int")
