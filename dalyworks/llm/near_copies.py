@@ -36,7 +36,11 @@ def shingles(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Signed 64-bit SimHash of the word shingles, repeats counted; no words: zero."""
-    hashes = shingles(text, shingle, seed)
+    return simhash(shingles(text, shingle, seed))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of unsigned hashes, repeats counted; of none: zero."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

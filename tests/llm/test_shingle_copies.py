@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 from helpers import awkward, documents, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dalyworks.llm import shingle_copies
+from dalyworks.llm.near_copies import fingerprint
 
 
 def words5(text):
@@ -97,3 +100,30 @@ def test_staged_tables_of_the_stage_go(spark):
     before = there()
     kept = shingle_copies.drop_copies(documents(spark, [(i, prose(i % 7, 60)) for i in range(30)]))
     assert kept.count() == 7 and len(there() - before) == 1
+
+
+def test_a_pair_leaves_the_last_join_hardly_more_than_once(spark):
+    draw, rows, sets = random.Random(8), [], []
+    for i in range(60):  # copies of two texts that share many of their rarest shingles
+        sets.append(shingle_copies.shingle_set(edited(prose(i % 2, 300), draw.randint(0, 6), 3000 + i)))
+    empty = np.empty(0, np.int64)
+    for found in sets:
+        first = shingle_copies._first(found, empty, empty, shingle_copies.LIKENESS)
+        rows.append((len(rows), len(found), first.tolist(), shingle_copies.turned_bits(found)))
+    nodes = spark.createDataFrame(rows, "node long, size int, first array<long>, bits array<long>")
+    now = nodes.select("node", F.col("size").alias("n"), F.posexplode("first").alias("at", "name"), F.col("node").alias("root"))
+    met = [tuple(r) for r in shingle_copies._every(now, nodes.select("node", "size", "bits"), shingle_copies.LIKENESS).collect()]
+    alike = {(i, j) for j in range(60) for i in range(j) if shingle_copies.alike(sets[i], sets[j])}
+    assert len(alike) > 300 and alike <= set(met)
+    assert len(met) < 1.2 * len(set(met))
+
+
+def test_texts_of_near_fingerprints_meet_first(spark):
+    texts = [edited(prose(i, 800), e, 10 * i + e) if e else prose(i, 800) for i in range(4) for e in (0, 1, 2, 3)]
+    prints = [fingerprint(t, shingle_copies.SHINGLE) for t in texts]
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, print long")
+    root = list(range(len(texts)))
+    for a, b in shingle_copies._proposed(nodes, 2).collect():
+        root = [root[a] if r == root[b] else r for r in root]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 2}
+    assert near and all(root[i] == root[j] for i, j in near) and len(set(root)) >= 4
