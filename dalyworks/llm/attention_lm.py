@@ -35,9 +35,8 @@ SCORED, CONTEXT = 16, 32
 IN_WORD = 8
 #: Rounds of the fit; in each every task learns from its own chunks, and the weights are averaged.
 ROUNDS = 3
-#: Share of a chunk's training windows, and draws for each later subword of its distinct words,
-#: that the rounds together learn from: positions read grow with the input.
-LEARNT = 0.5
+#: Share of a chunk's training windows that the rounds together learn from: all of them.
+LEARNT = 1.0
 #: Steps of a task in a round at least: with little text it goes through it again.
 STEPS = 100
 #: Windows, and later subwords, of a step.
@@ -227,7 +226,7 @@ class Attention:
         logits = hidden.reshape(-1, d) @ p["u"] + p["c"]
         return logits, (q, k, v, score, own, hidden, back, seen)
 
-    def log10(self, keys: np.ndarray, n: int, classes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    def log10(self, keys: np.ndarray, n: int, classes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
         """Log10 probability of each last position's class, batch by batch."""
         out = np.empty(classes.shape, np.float64)
         step = max(1, block // n)
@@ -239,8 +238,11 @@ class Attention:
             out[at : at + step] = ((chosen - np.log(logits.sum(1))) / np.float32(np.log(10))).reshape(-1, n)
         return out
 
-    def gradients(self, x: np.ndarray, n: int, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy of the classes ``y`` (flat) at the last positions of ``x``; -1 does not count."""
+    def gradients(self, x: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the classes ``y`` (flat) at the last positions of ``x``; -1 does not count.
+
+        With ``weight`` (one for each of ``y``) it is the weighted mean.
+        """
         p, length, width = self.p, x.shape[1], self.width
         scale = np.float32(width**-0.5)
         logits, (q, k, v, a, own, hidden, back, seen) = self.forward(x, n)
@@ -249,7 +251,10 @@ class Attention:
         d /= d.sum(1, keepdims=True)
         d[np.arange(len(y)), np.maximum(y, 0)] -= 1
         d[y < 0] = 0
-        d /= max(1, (y >= 0).sum())
+        if weight is None:
+            d /= max(1, (y >= 0).sum())
+        else:
+            d *= (weight / weight.sum())[:, None]
         g = {"u": hidden.reshape(-1, width).T @ d, "c": d.sum(0)}
         dh = (d @ p["u"].T).reshape(hidden.shape)
         da = np.matmul(dh, v.transpose(0, 2, 1))
@@ -284,12 +289,12 @@ class Learner:
         self.first = {k: np.zeros_like(v) for k, v in net.p.items()}
         self.second = {k: np.zeros_like(v) for k, v in net.p.items()}
 
-    def through(self, keys: np.ndarray, classes: np.ndarray) -> None:
+    def through(self, keys: np.ndarray, classes: np.ndarray, weight: np.ndarray | None = None) -> None:
         """One step for each batch of the rows, in their order."""
         p = self.net.p
         for at in range(0, len(keys), self.batch):
             self.turn += 1
-            g = self.net.gradients(keys[at : at + self.batch], self.n, classes[at : at + self.batch].ravel())
+            g = self.net.gradients(keys[at : at + self.batch], self.n, classes[at : at + self.batch].ravel(), None if weight is None else weight[at : at + self.batch])
             now = self.rate * min(1.0, self.turn / 20)
             for k in p:
                 self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
@@ -382,11 +387,13 @@ def leads_of(pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return lead
 
 
-def _lessons(model: Model, row: dict, turn: int, rounds: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, classes) of both layers that a chunk gives in one round.
+def _lessons(model: Model, row: dict, turn: int, rounds: int, seed: int) -> list[tuple[np.ndarray, ...]]:
+    """(symbols, classes) of both layers that a chunk gives in one round, for later subwords with weights.
 
     A chunk's training windows are put in a seeded order and dealt out to the rounds; each is
-    learnt from once at most. Later subwords are drawn as often as their words occur.
+    learnt from once. So is every later subword of its training words: rows in proportion to the
+    word's count, one at least, whose weights add up to the count, so that no step is left to one
+    frequent word and none is left out.
     """
     pieces, ends = _pieces(row)
     stream, starts = _stream(row), np.frombuffer(row["starts"], np.int64)
@@ -396,10 +403,11 @@ def _lessons(model: Model, row: dict, turn: int, rounds: int, seed: int) -> list
     known = draw.permutation(known)[: int(np.ceil(LEARNT * len(known)))][turn::rounds]
     out = [(keys[known], np.where(events < 0, -1, model.lead.place[np.maximum(events, 0)])[known])]
     keys, events, word = model.word_windows(pieces, ends)
-    weight = np.cumsum(np.frombuffer(row["counts"], np.int32)[word], dtype=np.float64) if len(word) else np.zeros(1)
-    size = int(np.ceil(LEARNT * len(word) / rounds)) if weight[-1] else 0
-    drawn = np.searchsorted(weight, draw.random((rounds, size))[turn] * weight[-1], "right")
-    return [*out, (keys[drawn], model.later.place[events[drawn]][:, None])]
+    n = np.frombuffer(row["counts"], np.int32)[word].astype(np.float64)
+    copies = np.ceil(n * (len(n) / max(1.0, n.sum()))).astype(np.int64)
+    dealt = draw.permutation(np.repeat(np.arange(len(n)), copies))[turn::rounds]
+    weight = (n[dealt] / copies[dealt]).astype(np.float32)
+    return [*out, (keys[dealt], model.later.place[events[dealt]][:, None], weight)]
 
 
 def _learn(model: Model, turn: int, rounds: int, seed: int):
@@ -414,17 +422,17 @@ def _learn(model: Model, turn: int, rounds: int, seed: int):
         seen, again = [0, 0], [[], []]
         for batch in batches:
             for i in range(batch.num_rows):
-                for k, (keys, classes) in enumerate(_lessons(model, batch.slice(i, 1).to_pylist()[0], turn, rounds, seed)):
-                    learners[k].through(keys, classes)
-                    seen[k] += len(keys)
+                for k, lesson in enumerate(_lessons(model, batch.slice(i, 1).to_pylist()[0], turn, rounds, seed)):
+                    learners[k].through(*lesson)
+                    seen[k] += len(lesson[0])
                     if learners[k].turn < STEPS:
-                        again[k].append((keys, classes))
+                        again[k].append(lesson)
                     else:
                         again[k] = []
         for learner, held in zip(learners, again, strict=True):
-            while any(len(x) for x, _ in held) and learner.turn < STEPS:
-                for keys, classes in held:
-                    learner.through(keys, classes)
+            while any(len(x[0]) for x in held) and learner.turn < STEPS:
+                for lesson in held:
+                    learner.through(*lesson)
         for k, net in enumerate(nets):
             if seen[k]:
                 task = TaskContext.get().partitionId()

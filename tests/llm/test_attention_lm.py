@@ -151,6 +151,25 @@ def test_every_training_window_is_dealt_to_one_round(spark, monkeypatch):
     assert held.any() and sum(map(len, rounds)) == sum(-(-n // attention_lm.SCORED) for n, h in zip(np.diff(starts), held) if not h)
 
 
+def test_all_windows_and_later_subwords_of_training_documents_are_learnt(spark):
+    docs = documents(spark, [(i, prose(i, 200)) for i in range(30)]).withColumn("held", attention_lm.held_out(F.col("doc_id")))
+    row = attention_lm.chunks(docs.select("doc_id", "text", "held").coalesce(1)).first().asDict()
+    events = attention_lm.Events.of(np.ones(attention_lm.IDS + 1), 64)
+    model = attention_lm.Model(events, events, None, None, None, None)
+    rounds = [attention_lm._lessons(model, row, k, 3, 5) for k in range(3)]
+    starts, held = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["held"], np.uint8)
+    assert sum(len(x[0][0]) for x in rounds) == sum(-(-n // attention_lm.SCORED) for n, h in zip(np.diff(starts), held) if not h)
+    keys, later, word = model.word_windows(*attention_lm._pieces(row))
+    want, found = Counter(), Counter()
+    for k, e, w in zip(keys, later, word):
+        want[(k.tobytes(), int(events.place[e]))] += int(np.frombuffer(row["counts"], np.int32)[w])
+    for _, (keys, classes, weight) in rounds:
+        for k, c, w in zip(keys, classes, weight):
+            found[(k.tobytes(), int(c[0]))] += float(w)
+    want = {k: v for k, v in want.items() if v}
+    assert len(want) > 50 and want.keys() == found.keys() and all(math.isclose(found[k], v, rel_tol=1e-4) for k, v in want.items())
+
+
 def test_empty_table_and_no_training_rows(spark):
     assert attention_lm.language_scores(documents(spark, [])).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
