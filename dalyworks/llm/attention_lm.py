@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,8 @@ LEARNT = 1.0
 STEPS = 100
 #: Windows, and later subwords, of a step.
 BATCHES = (128, 1024)
+#: Numbers by which a row's symbols are multiplied to tell rows apart.
+MIXERS = np.random.default_rng(11).integers(1 << 62, 1 << 63, IN_WORD + 1, np.uint64) | np.uint64(1)
 #: Groups in which the tasks' weights are added up before the driver adds the groups.
 GROUPS = 16
 #: The end of a text among the words: no word holds a space.
@@ -93,11 +94,10 @@ def chunks(docs: DataFrame, folder: str = TOKENIZERS, chunk_bytes: int = CHUNK_B
             starts = np.cumsum([0, *map(len, tokens)])
             stream = np.concatenate(tokens)
             mask = np.repeat(~np.array(held, bool), np.diff(starts))
-            pieces, sizes = array("H"), array("i", [0])
-            for word in islice(numbers, 1, None):
-                found = encode(" " + word.decode("utf-8", "replace"))
-                pieces.extend(found)
-                sizes.append(len(found))
+            words = b"\n".join(islice(numbers, 1, None)).decode("utf-8", "replace").split("\n") if len(numbers) > 1 else []
+            found = [encode(" " + word) for word in words]
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            pieces = np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum()))
             row = {
                 "chunk": (task << 32) + made,
                 "doc_ids": names,
@@ -108,7 +108,7 @@ def chunks(docs: DataFrame, folder: str = TOKENIZERS, chunk_bytes: int = CHUNK_B
                 "names": np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers)).tobytes(),
                 "counts": np.bincount(stream[mask], minlength=len(numbers)).astype(np.int32).tobytes(),
                 "pieces": pieces.tobytes(),
-                "sizes": np.array(sizes, np.int32).tobytes(),
+                "sizes": np.append(np.int32(0), sizes).tobytes(),
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -193,6 +193,25 @@ class Events:
         return cls(symbol, place, within)
 
 
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Exponentials in place; (sums of the rows, what was taken off first: each row's largest, or
+    nothing where no value is so large or so small that it would matter)."""
+    off: np.ndarray | float = 0.0
+    if logits.size and not -60 < logits.min() <= logits.max() < 60:
+        off = logits.max(1)
+        logits -= off[:, None]
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], np.float32), off
+
+
+def _names(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of symbols."""
+    total = np.zeros(len(keys), np.uint64)
+    for i in range(keys.shape[1]):
+        total += keys[:, i].astype(np.uint64) * MIXERS[i]
+    return total ^ (total >> np.uint64(31))
+
+
 class Attention:
     """One causal self-attention layer with relative positions, and a linear layer to classes."""
 
@@ -206,8 +225,11 @@ class Attention:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def forward(self, keys: np.ndarray, n: int) -> tuple:
-        """Logits of the ``n`` last positions of each row of symbols, and what the gradient needs."""
+    def forward(self, keys: np.ndarray, n: int, room: np.ndarray | None = None) -> tuple:
+        """Logits of the ``n`` last positions of each row of symbols, and what the gradient needs.
+
+        The logits are written to ``room``, where it is given, so that batches share its memory.
+        """
         p, length, d = self.p, keys.shape[1], self.width
         back = np.arange(length - n, length)[:, None] - np.arange(length)[None, :]
         seen = back >= 0
@@ -223,42 +245,55 @@ class Attention:
         score /= score.sum(2, keepdims=True)
         own = p["e"][keys[:, length - n :]]
         hidden = np.matmul(score, v) + own
-        logits = hidden.reshape(-1, d) @ p["u"] + p["c"]
+        logits = np.matmul(hidden.reshape(-1, d), p["u"], out=None if room is None else room[: len(keys) * n])
+        logits += p["c"]
         return logits, (q, k, v, score, own, hidden, back, seen)
 
-    def log10(self, keys: np.ndarray, n: int, classes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    def room(self, rows: int) -> np.ndarray:
+        return np.empty((rows, len(self.p["c"])), np.float32)
+
+    def log10(self, keys: np.ndarray, n: int, classes: np.ndarray, block: int = 1 << 11) -> np.ndarray:
         """Log10 probability of each last position's class, batch by batch."""
         out = np.empty(classes.shape, np.float64)
         step = max(1, block // n)
+        room = self.room(step * n)
         for at in range(0, len(keys), step):
-            logits, _ = self.forward(keys[at : at + step], n)
-            logits -= logits.max(1, keepdims=True)
+            logits, _ = self.forward(keys[at : at + step], n, room)
             chosen = logits[np.arange(len(logits)), classes[at : at + step].ravel()]
-            np.exp(logits, out=logits)
-            out[at : at + step] = ((chosen - np.log(logits.sum(1))) / np.float32(np.log(10))).reshape(-1, n)
+            sums, off = _exponentials(logits)
+            out[at : at + step] = ((chosen - off - np.log(sums)) / np.float32(np.log(10))).reshape(-1, n)
+        return out
+
+    def log10_at(self, keys: np.ndarray, row: np.ndarray, classes: np.ndarray, block: int = 1 << 10) -> np.ndarray:
+        """Log10 probability of each class after the symbols ``keys[row]``; ``row`` ascends, and
+        what rows share is worked out once."""
+        out, room = np.empty(len(row), np.float64), self.room(block)
+        for at in range(0, len(keys), block):
+            first, last = np.searchsorted(row, (at, at + block))
+            logits, _ = self.forward(keys[at : at + block], 1, room)
+            own = row[first:last] - at
+            chosen = logits[own, classes[first:last]]
+            sums, off = _exponentials(logits)
+            out[first:last] = (chosen - (off + np.log(sums))[own]) / np.float32(np.log(10))
         return out
 
-    def gradients(self, x: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray | None = None, room: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of the classes ``y`` (flat) at the last positions of ``x``; -1 does not count.
 
         With ``weight`` (one for each of ``y``) it is the weighted mean.
         """
         p, length, width = self.p, x.shape[1], self.width
         scale = np.float32(width**-0.5)
-        logits, (q, k, v, a, own, hidden, back, seen) = self.forward(x, n)
-        logits -= logits.max(1, keepdims=True)
-        d = np.exp(logits, out=logits)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(y)), np.maximum(y, 0)] -= 1
-        d[y < 0] = 0
-        if weight is None:
-            d /= max(1, (y >= 0).sum())
-        else:
-            d *= (weight / weight.sum())[:, None]
-        g = {"u": hidden.reshape(-1, width).T @ d, "c": d.sum(0)}
+        d, (q, k, v, a, own, hidden, back, seen) = self.forward(x, n, room)
+        counts = y >= 0
+        share = counts / np.float32(max(1, counts.sum())) if weight is None else weight * counts / weight.sum()
+        sums, _ = _exponentials(d)
+        d *= (share / sums).astype(np.float32)[:, None]
+        d[np.arange(len(y)), np.maximum(y, 0)] -= share
+        g = {"u": hidden.reshape(-1, width).T @ d, "c": np.ones(len(d), np.float32) @ d}
         dh = (d @ p["u"].T).reshape(hidden.shape)
         da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(2, keepdims=True))
+        ds = a * (da - np.einsum("bij,bij->bi", a, da)[:, :, None])
         g["r"] = np.bincount(back[seen], weights=ds.sum(0)[seen], minlength=len(p["r"])).astype(np.float32)
         dv, dq, dk = np.matmul(a.transpose(0, 2, 1), dh), np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
         every = p["e"][x]
@@ -267,7 +302,8 @@ class Attention:
         g["k"], g["v"] = flat.T @ dk.reshape(-1, width), flat.T @ dv.reshape(-1, width)
         de = dk @ p["k"].T + dv @ p["v"].T
         de[:, length - n :] += dh + dq @ p["q"].T * scale
-        g["e"] = np.stack([np.bincount(x.ravel(), weights=de[:, :, i].ravel(), minlength=SYMBOLS) for i in range(width)], 1).astype(np.float32)
+        at = x.reshape(-1, 1) * width + np.arange(width)
+        g["e"] = np.bincount(at.ravel(), weights=de.ravel(), minlength=SYMBOLS * width).reshape(SYMBOLS, width).astype(np.float32)
         return g
 
     def flat(self) -> np.ndarray:
@@ -286,20 +322,25 @@ class Learner:
 
     def __init__(self, net: Attention, n: int, batch: int, rate: float) -> None:
         self.net, self.n, self.batch, self.rate, self.turn = net, n, batch, rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in net.p.items()}
-        self.second = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.whole, at = net.flat(), 0
+        for k in sorted(net.p):  # from now on parts of one vector
+            net.p[k] = self.whole[at : at + net.p[k].size].reshape(net.p[k].shape)
+            at += net.p[k].size
+        self.first, self.second = np.zeros_like(self.whole), np.zeros_like(self.whole)
+        self.room = net.room(batch * n)
 
     def through(self, keys: np.ndarray, classes: np.ndarray, weight: np.ndarray | None = None) -> None:
         """One step for each batch of the rows, in their order."""
-        p = self.net.p
         for at in range(0, len(keys), self.batch):
             self.turn += 1
-            g = self.net.gradients(keys[at : at + self.batch], self.n, classes[at : at + self.batch].ravel(), None if weight is None else weight[at : at + self.batch])
+            part = slice(at, at + self.batch)
+            g = self.net.gradients(keys[part], self.n, classes[part].ravel(), None if weight is None else weight[part], self.room)
+            g = np.concatenate([g[k].ravel() for k in sorted(g)])
             now = self.rate * min(1.0, self.turn / 20)
-            for k in p:
-                self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
-                self.second[k] = 0.99 * self.second[k] + 0.01 * g[k] ** 2
-                p[k] -= (now * (self.first[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.second[k] / (1 - 0.99**self.turn)) + 1e-6)).astype(np.float32)
+            self.first += np.float32(0.1) * (g - self.first)
+            self.second += np.float32(0.01) * (g * g - self.second)
+            size = np.sqrt(self.second * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-6)
+            self.whole -= np.float32(now / (1 - 0.9**self.turn)) * self.first / size
 
 
 @dataclass
@@ -348,9 +389,9 @@ class Model:
         word = np.repeat(np.arange(len(ends)), size)
         inside = np.arange(len(pieces)) - (ends - size)[word]
         symbol = self.later.symbol[pieces]
-        shift = np.arange(IN_WORD - 1, -1, -1)
-        at = np.arange(len(pieces))[:, None] - shift[None, :]
-        keys = np.where(inside[:, None] >= shift[None, :], symbol[np.maximum(at, 0)], BLANK)
+        keys = np.full((len(pieces), IN_WORD), BLANK, np.int32)
+        for back in range(min(IN_WORD, len(pieces))):
+            keys[back:, IN_WORD - 1 - back] = np.where(inside[back:] >= back, symbol[: len(pieces) - back], BLANK)
         events = np.full(len(pieces), STOP, np.int32)
         events[:-1] = np.where(word[1:] == word[:-1], pieces[1:], STOP) if len(pieces) else 0
         return keys, events, word
@@ -367,7 +408,10 @@ class Model:
         lead = leads_of(pieces, ends)
         begun, new = self.begun[lead], self.new[lead]
         keys, events, word = self.word_windows(pieces, ends)
-        each = self.inside.log10(keys, 1, self.later.place[events][:, None])[:, 0] + self.later.within[events]
+        _, one, alike = np.unique(_names(keys), return_index=True, return_inverse=True)
+        order = np.argsort(alike, kind="stable")
+        each = self.later.within[events]
+        each[order] += self.inside.log10_at(keys[one], alike[order], self.later.place[events][order])
         spelled = np.bincount(word, weights=each, minlength=len(ends))
         by_word = self.mix(spelled, count, begun, new)
         by_word[0] = 0.0
@@ -391,9 +435,10 @@ def _lessons(model: Model, row: dict, turn: int, rounds: int, seed: int) -> list
     """(symbols, classes) of both layers that a chunk gives in one round, for later subwords with weights.
 
     A chunk's training windows are put in a seeded order and dealt out to the rounds; each is
-    learnt from once. So is every later subword of its training words: rows in proportion to the
-    word's count, one at least, whose weights add up to the count, so that no step is left to one
-    frequent word and none is left out.
+    learnt from once. So is every later subword of its training words: what the model reads and
+    predicts alike is one row, with the counts of all its words as weight. A row above the mean weight is
+    dealt out as several that share it, so that no step is left to one frequent word; none is left
+    out.
     """
     pieces, ends = _pieces(row)
     stream, starts = _stream(row), np.frombuffer(row["starts"], np.int64)
@@ -404,10 +449,14 @@ def _lessons(model: Model, row: dict, turn: int, rounds: int, seed: int) -> list
     out = [(keys[known], np.where(events < 0, -1, model.lead.place[np.maximum(events, 0)])[known])]
     keys, events, word = model.word_windows(pieces, ends)
     n = np.frombuffer(row["counts"], np.int32)[word].astype(np.float64)
+    some, classes = np.flatnonzero(n), model.later.place[events]
+    _, one, alike = np.unique((_names(keys) + classes.astype(np.uint64) * MIXERS[-1])[some], return_index=True, return_inverse=True)
+    n, one = np.bincount(alike, weights=n[some], minlength=len(one)), some[one]
     copies = np.ceil(n * (len(n) / max(1.0, n.sum()))).astype(np.int64)
     dealt = draw.permutation(np.repeat(np.arange(len(n)), copies))[turn::rounds]
     weight = (n[dealt] / copies[dealt]).astype(np.float32)
-    return [*out, (keys[dealt], model.later.place[events[dealt]][:, None], weight)]
+    rows = one[dealt]
+    return [*out, (keys[rows], classes[rows][:, None], weight)]
 
 
 def _learn(model: Model, turn: int, rounds: int, seed: int):

@@ -170,6 +170,33 @@ def test_all_windows_and_later_subwords_of_training_documents_are_learnt(spark):
     assert len(want) > 50 and want.keys() == found.keys() and all(math.isclose(found[k], v, rel_tol=1e-4) for k, v in want.items())
 
 
+def test_later_subwords_that_read_and_predict_alike_are_one_row(spark):
+    """Many words that begin alike give few rows, with the counts of all of them."""
+    words = [f"{a}{b}{c}" for a in "qxz" for b in ("qq", "xx", "zz") for c in range(100, 900)]
+    texts = [(i, " ".join(random.Random(i).choices(words, k=3000))) for i in range(8)]
+    docs = documents(spark, texts).withColumn("held", attention_lm.held_out(F.col("doc_id")))
+    row = attention_lm.chunks(docs.select("doc_id", "text", "held").coalesce(1)).first().asDict()
+    events = attention_lm.Events.of(np.ones(attention_lm.IDS + 1), 64)
+    model = attention_lm.Model(events, events, None, None, None, None)
+    dealt = [x for k in range(3) for x in zip(*attention_lm._lessons(model, row, k, 3, 5)[1])]
+    distinct = {(k.tobytes(), int(c[0])) for k, c, _ in dealt}
+    counts = np.frombuffer(row["counts"], np.int32)
+    _, _, word = model.word_windows(*attention_lm._pieces(row))
+    assert len(dealt) <= 2 * len(distinct) < (counts[word] > 0).sum()
+    assert math.isclose(sum(float(w) for *_, w in dealt), counts[word].sum(), rel_tol=1e-4)
+
+
+def test_rows_scored_once_score_as_rows_scored_each():
+    draw = np.random.default_rng(4)
+    net = attention_lm.Attention(attention_lm.IN_WORD, (64, 8), 1)
+    keys = draw.integers(0, 1000, (50, attention_lm.IN_WORD))
+    row, classes = np.sort(draw.integers(0, 50, 400)), draw.integers(0, 64, 400)
+    for size in (1, 200):  # with logits too large for plain exponentials too
+        net.p["u"] *= np.float32(size)
+        assert np.allclose(net.log10_at(keys, row, classes, 16), net.log10(keys[row], 1, classes[:, None])[:, 0], atol=1e-4, rtol=1e-4)
+        assert np.isfinite(net.log10(keys[row], 1, classes[:, None])).all()
+
+
 def test_empty_table_and_no_training_rows(spark):
     assert attention_lm.language_scores(documents(spark, [])).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
