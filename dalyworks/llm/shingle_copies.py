@@ -165,12 +165,12 @@ def _every(now: DataFrame, maps: DataFrame, likeness: tuple[int, int], back: int
     return met.select(F.col("node").alias("a"), F.col("_node").alias("b"))
 
 
-def links(docs: DataFrame, rows: DataFrame, shingle: int, likeness: tuple[int, int], radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between nodes of ``rows`` that connect all pairs of at least ``likeness``.
+def links(docs: DataFrame, nodes: DataFrame, shingle: int, likeness: tuple[int, int], radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between rows of ``nodes`` that connect all pairs of at least ``likeness``.
 
-    ``rows`` has (node, body, size, first, bits, print): the hash of a text's shingle set, that of
-    the text, the set's size, its rarest shingles, its map of turned bits and its SimHash. First
-    nodes meet whose fingerprints are near. Then two nodes may only be linked where they share one
+    ``nodes`` has, once for each node, (node, body, size, first, bits, print): the hash of a text's
+    shingle set, that of the text, the set's size, its rarest shingles, its map of turned bits and
+    its SimHash. First nodes meet whose fingerprints are near. Then two nodes may only be linked where they share one
     of the rarest shingles. In the next rounds a shared shingle proposes one of its nodes to all
     others (at first that of the least hash; later each shingle draws its own), and each node
     meets the one of them that is likest by the maps, if they do not rule it out, so that a large
@@ -178,14 +178,13 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, likeness: tuple[int, i
     round all pairs are compared by their maps that are not yet in one component, each at the
     first shingle they share and hardly ever again. Every link is checked on the whole texts.
     """
-    nodes = staged(rows.select("node", "body", "size", "first", "bits", "print").dropDuplicates(["node"]), "nodes")
     maps = nodes.select("node", "size", "bits")
     each = nodes.select("node", F.col("size").alias("n"), F.posexplode("first").alias("at", "name"))
     shared = staged(each.groupBy("name").count().where("count > 1").select("name"), "shared")
     entries = staged(each.join(shared, "name"), "entries")
     wanted = staged(nodes.select("node", "body").join(entries.select("node").distinct(), "node"), "wanted")
     texts = docs.select(F.xxhash64("text").alias("body"), "text").where(_perhaps(wanted.select("body"))("body")).join(wanted, "body")
-    bodies = staged(texts.dropDuplicates(["node"]).select("node", "text"), "bodies")
+    bodies = staged(texts.dropDuplicates(["node"]).select("node", "text"), "bodies", "zstd")
     tried = staged(_proposed(nodes, radius), "pairs")
     edges = staged(_verified(staged(_close(tried, maps, likeness).select("a", "b"), "close"), bodies, shingle, likeness), "links")
     for turn in range(STARS + 1):
@@ -245,6 +244,10 @@ def _rooted(slim: DataFrame, shingle: int, likeness: tuple[int, int]) -> DataFra
 
     bits = T.StructField("bits", T.ArrayType(T.LongType()))
     fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType())), bits, T.StructField("print", T.LongType())]
-    rows = staged(per_text(slim.withColumn("body", F.xxhash64("text")), "text", fields, values), "rows")
-    roots = components(links(slim.select("text"), rows, shingle, likeness), "a", "b")
-    return staged(rows.drop("body", "size", "first", "bits", "print").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    wide = ["body", "size", "first", "bits", "print"]
+    with scratch(slim.sparkSession):  # from here on shingles are wanted once for each node only
+        every = staged(per_text(slim.withColumn("body", F.xxhash64("text")), "text", fields, values), "every")
+        nodes = staged(every.select("node", *wide).dropDuplicates(["node"]), "nodes", keep=True)
+        rows = staged(every.drop(*wide), "rows", keep=True)
+    roots = components(links(slim.select("text"), nodes, shingle, likeness), "a", "b")
+    return staged(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")

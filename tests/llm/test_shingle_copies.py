@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ from helpers import awkward, documents, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dalyworks.llm import shingle_copies
+from dalyworks.llm import common, shingle_copies
 from dalyworks.llm.near_copies import fingerprint
 
 
@@ -127,3 +128,18 @@ def test_texts_of_near_fingerprints_meet_first(spark):
         root = [root[a] if r == root[b] else r for r in root]
     near = {(i, j) for j in range(len(texts)) for i in range(j) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 2}
     assert near and all(root[i] == root[j] for i, j in near) and len(set(root)) >= 4
+
+
+def test_shingles_are_on_disk_once_while_texts_are_compared(spark, monkeypatch, tmp_path):
+    seen, verified = [], shingle_copies._verified
+
+    def looked(*a):
+        folders = [f"{tmp_path}/llm/{x}" for x in os.listdir(f"{tmp_path}/llm")]
+        seen.append(sum("first" in spark.read.parquet(x).columns for x in folders if os.path.exists(f"{x}/_SUCCESS")))
+        return verified(*a)
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(shingle_copies, "_verified", looked)
+    rows = [(i, prose(i % 6, 40) + " tail" * (i % 2)) for i in range(12)]
+    assert shingle_copies.drop_copies(documents(spark, rows)).count() == 6
+    assert seen and set(seen) == {1}
