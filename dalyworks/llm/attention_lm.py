@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,21 @@ ROUNDS = 3
 LEARNT = 1.0
 #: Steps of a task in a round at least: with little text it goes through it again.
 STEPS = 100
+#: Times that a round goes through its windows, and its later subwords: a word's subwords are learnt
+#: from once for the whole corpus and not once a chunk, so there are few steps.
+PASSES = (1, 2)
 #: Windows, and later subwords, of a step.
 BATCHES = (128, 1024)
+#: Logits worked out at a time.
+BLOCK = 1 << 16
 #: Numbers by which a row's symbols are multiplied to tell rows apart.
 MIXERS = np.random.default_rng(11).integers(1 << 62, 1 << 63, IN_WORD + 1, np.uint64) | np.uint64(1)
 #: Groups in which the tasks' weights are added up before the driver adds the groups.
 GROUPS = 16
 #: The end of a text among the words: no word holds a space.
 END = b" "
+#: Blanks that a word may hold.
+BLANKS = re.compile(r"[^\S ]")
 
 CHUNKS = T.StructType(
     [
@@ -59,8 +67,12 @@ CHUNKS = T.StructType(
         T.StructField("counts", T.BinaryType()),
         T.StructField("pieces", T.BinaryType()),
         T.StructField("sizes", T.BinaryType()),
+        T.StructField("leads", T.BinaryType()),
     ]
 )
+#: Words of the corpus that are learnt from and scored together.
+PAGE = 1 << 18
+PAGES = "chunk long, names binary, totals binary, pieces binary, sizes binary"
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -68,17 +80,42 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+class Speller:
+    """Subword ids of many words at once, as each word after a space has them."""
+
+    def __init__(self, folder: str) -> None:
+        self.encode = encoder(folder)
+        known = self.encode.__self__
+        self.begins = np.array([known.decode_single_token_bytes(i)[:1] == b" " for i in range(known.n_vocab)])
+
+    def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many each word has).
+
+        The vocabulary cuts a text before a space that no other blank stands by, so words in a row
+        have the ids that each has alone, and a word's first id begins with the space. Words that
+        hold other blanks are spelled one by one.
+        """
+        odd = [i for i, word in enumerate(words) if BLANKS.search(word)] if BLANKS.search(" ".join(words)) else []
+        apart = [self.encode(" " + words[i]) for i in odd]
+        if odd:
+            left = set(odd)
+            words = [word for i, word in enumerate(words) if i not in left]
+        pieces = np.array(self.encode(" " + " ".join(words)) if words else [], np.uint16)
+        sizes = np.diff(np.flatnonzero(self.begins[pieces]), append=len(pieces)).astype(np.int32)
+        if odd:
+            before = np.array(odd) - np.arange(len(odd))
+            added = np.fromiter(map(len, apart), np.int32, len(apart))
+            ends = np.append(0, np.cumsum(sizes))
+            pieces = np.insert(pieces, np.repeat(ends[before], added), np.fromiter(chain.from_iterable(apart), np.uint16, int(added.sum())))
+            sizes = np.insert(sizes, before, added)
+        return pieces, sizes
 
 
 def chunks(docs: DataFrame, folder: str = TOKENIZERS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Documents (doc_id, text, held) as numbered words, one row per chunk.
 
-    A chunk has its distinct words once: a 64-bit name, the count in its training documents and
-    the subword ids; a word number per token, the end of each text included, is held as its
+    A chunk has its distinct words once: a 64-bit name, the count in its training documents,
+    the subword ids and the first of them; a word number per token, the end of each text included, is held as its
     low and high 16 bits (the high ones are mostly zero and take no room when compressed), and
     ``starts`` says where each document begins. Word number 0 is the end.
     """
@@ -88,20 +125,30 @@ def chunks(docs: DataFrame, folder: str = TOKENIZERS, chunk_bytes: int = CHUNK_B
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(CHUNKS)
-        encode, task, made = encoder(folder), TaskContext.get().partitionId(), 0
+        speller, task, made = Speller(folder), TaskContext.get().partitionId(), 0
 
         def flush() -> pa.RecordBatch:
-            starts = np.cumsum([0, *map(len, tokens)])
-            stream = np.concatenate(tokens)
-            mask = np.repeat(~np.array(held, bool), np.diff(starts))
-            words = b"\n".join(islice(numbers, 1, None)).decode("utf-8", "replace").split("\n") if len(numbers) > 1 else []
-            found = [encode(" " + word) for word in words]
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
-            pieces = np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum()))
+            rows = pa.Table.from_batches(held)
+            low = [(t or "").encode().translate(LOWER) for t in rows["text"].to_pylist()]
+            split = pa.compute.ascii_split_whitespace(pa.array(low, pa.large_string()))
+            ends, flat = split.offsets.to_numpy(), split.values
+            full = pa.compute.greater(pa.compute.binary_length(flat), 0)  # around a text's outer blanks are empty ones
+            ends = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[ends]
+            found = flat.filter(full).dictionary_encode()
+            starts = ends + np.arange(len(ends))
+            stream = np.zeros(starts[-1], np.int32)
+            inner = np.ones(len(stream), bool)
+            inner[starts[1:] - 1] = False
+            stream[inner] = found.indices.to_numpy() + 1
+            out = rows["held"].to_numpy()
+            mask = np.repeat(~out, np.diff(starts))
+            words = found.dictionary.to_pylist()
+            pieces, sizes = speller.spell(words)
+            numbers = [END, *found.dictionary.cast(pa.large_binary()).to_pylist()]
             row = {
                 "chunk": (task << 32) + made,
-                "doc_ids": names,
-                "held": np.array(held, np.uint8).tobytes(),
+                "doc_ids": rows["doc_id"].to_pylist(),
+                "held": out.astype(np.uint8).tobytes(),
                 "starts": starts.astype(np.int64).tobytes(),
                 "low": (stream & 0xFFFF).astype(np.uint16).tobytes(),
                 "high": (stream >> 16).astype(np.uint16).tobytes(),
@@ -109,24 +156,22 @@ def chunks(docs: DataFrame, folder: str = TOKENIZERS, chunk_bytes: int = CHUNK_B
                 "counts": np.bincount(stream[mask], minlength=len(numbers)).astype(np.int32).tobytes(),
                 "pieces": pieces.tobytes(),
                 "sizes": np.append(np.int32(0), sizes).tobytes(),
+                "leads": leads_of(pieces, np.append(0, np.cumsum(sizes))).astype(np.uint16).tobytes(),
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        names, held, tokens, size, numbers = [], [], [], 0, _Numbers({END: 0})
+        held, size = [], 0
         for batch in batches:
-            for i, t, h in zip(*(batch.column(k) for k in range(3)), strict=True):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER)
-                words = raw.split()
-                words.append(END)
-                tokens.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                names.append(i.as_py())
-                held.append(h.as_py())
-                size += len(raw) + 1
+            first = 0
+            for i, n in enumerate(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+                size += n + 1
                 if size >= chunk_bytes:
+                    held.append(batch.slice(first, i + 1 - first))
                     yield flush()
-                    made += 1
-                    names, held, tokens, size, numbers = [], [], [], 0, _Numbers({END: 0})
-        if tokens:
+                    held, size, made, first = [], 0, made + 1, i + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        if held:
             yield flush()
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, CHUNKS)
@@ -145,30 +190,82 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             names, counts = np.frombuffer(row["names"], np.int64), np.frombuffer(row["counts"], np.int32).astype(np.int64)
-            lead = leads_of(*_pieces(row))
-            columns = [pa.array(np.full(len(names), row["chunk"])), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(names), pa.array(counts), pa.array(lead)]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "number", "name", "n", "lead"])
+            _, ends = _pieces(row)
+            pieces = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((np.append(0, ends) * 2).astype(np.int32)), pa.py_buffer(row["pieces"])])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts), pieces], ["name", "n", "pieces"])
+
+
+def _word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            names = np.frombuffer(row["names"], np.int64)
+            columns = [pa.array(np.full(len(names), row["chunk"])), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(names)]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "number", "name"])
+
+
+def vocabulary(words: DataFrame, page: int = PAGE) -> DataFrame:
+    """Distinct words (name, c, pieces) of the corpus with their training counts, packed as ``PAGES``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        schema = pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in ("names", "totals", "pieces", "sizes"))])
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def full() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            pieces = rows["pieces"].to_pylist()
+            row = {
+                "chunk": (1 << 60) + (task << 32) + made,
+                "names": rows["name"].to_numpy().tobytes(),
+                "totals": rows["c"].to_numpy().tobytes(),
+                "pieces": b"".join(pieces),
+                "sizes": (np.fromiter(map(len, pieces), np.int32, len(pieces)) // 2).tobytes(),
+            }
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= page:
+                yield full()
+                made, held, size = made + 1, [], 0
+        if size:
+            yield full()
+
+    return words.select("name", "c", "pieces").mapInArrow(run, PAGES)
 
 
 def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training counts of ids as first (0) and later (1) subwords of a word, by task."""
-    total = np.zeros((2, IDS + 1), np.int64)
+    """By task: training counts of ids as first (0) and later (1) subwords of a word, words seen
+    once by their first subword (2), and words seen at all (3)."""
+    total = np.zeros((4, IDS + 1), np.int64)
     for batch in batches:
         for row in batch.to_pylist():
-            counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+            counts = np.frombuffer(row["totals"], np.int64)
             pieces, ends = _pieces(row)
             first, size = ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0)
+            leads = leads_of(pieces, ends)
             weight = np.repeat(counts, size)
-            lead = np.zeros(len(pieces), bool)
-            lead[first[size > 0]] = True
-            for k, part in ((0, lead), (1, ~lead)):
-                total[k, :IDS] += np.bincount(pieces[part], weights=weight[part], minlength=IDS).astype(np.int64)
-            total[0, STOP] += counts[0]
-            total[1, STOP] += counts[1:].sum()
+            later = np.ones(len(pieces), bool)
+            later[first[size > 0]] = False
+            np.add.at(total[0], leads, counts)
+            np.add.at(total[1], pieces[later], weight[later])
+            total[1, STOP] += counts[size > 0].sum()
+            total[2] += np.bincount(leads[counts == 1], minlength=IDS + 1)
+            total[3, 0] += (counts > 0).sum()
     kinds, ids = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(ids.astype(np.int32)), pa.array(total[kinds, ids])], ["kind", "id", "n"])
 
 
+def piece_counts(pages: DataFrame) -> np.ndarray:
+    """The counts of ``_piece_counts`` over all pages; at most four per vocabulary id."""
+    counts = np.zeros((4, IDS + 1), np.int64)
+    for r in pages.mapInArrow(_piece_counts, "kind int, id int, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).collect():
+        counts[r.kind, r.id] = r.n
+    return counts
+
+
 @dataclass
 class Events:
     """How ids are read (symbols) and predicted (a class, then a place in it by its count)."""
@@ -193,17 +290,33 @@ class Events:
         return cls(symbol, place, within)
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+def _exponentials(logits: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray | float]:
     """Exponentials in place; (sums of the rows, what was taken off first: each row's largest, or
-    nothing where no value is so large or so small that it would matter)."""
+    nothing where no value is farther than ``reach`` from 0 and that is too near to matter)."""
     off: np.ndarray | float = 0.0
-    if logits.size and not -60 < logits.min() <= logits.max() < 60:
+    if not reach < 60:
         off = logits.max(1)
         logits -= off[:, None]
     np.exp(logits, out=logits)
     return logits @ np.ones(logits.shape[1], np.float32), off
 
 
+def _longest(rows: np.ndarray) -> float:
+    """Length of the longest row."""
+    return float(np.sqrt((np.square(rows) @ np.ones(rows.shape[1], np.float32)).max(initial=0)))
+
+
+def _sums(symbols: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` by symbol."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    ranked = symbols[order]
+    first = np.flatnonzero(np.diff(ranked, prepend=-1))
+    out = np.zeros((SYMBOLS, values.shape[1]), np.float32)
+    if len(first):
+        out[ranked[first]] = np.add.reduceat(values.take(order, 0), first, axis=0)
+    return out
+
+
 def _names(keys: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of symbols."""
     total = np.zeros(len(keys), np.uint64)
@@ -212,6 +325,13 @@ def _names(keys: np.ndarray) -> np.ndarray:
     return total ^ (total >> np.uint64(31))
 
 
+def _alike(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that puts equal names side by side, where in it each distinct name begins)."""
+    order = np.argsort(names)
+    ranked = names[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(names)), bool), ranked[1:] != ranked[:-1])))
+
+
 class Attention:
     """One causal self-attention layer with relative positions, and a linear layer to classes."""
 
@@ -225,85 +345,132 @@ class Attention:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def forward(self, keys: np.ndarray, n: int, room: np.ndarray | None = None) -> tuple:
-        """Logits of the ``n`` last positions of each row of symbols, and what the gradient needs.
-
-        The logits are written to ``room``, where it is given, so that batches share its memory.
-        """
-        p, length, d = self.p, keys.shape[1], self.width
+    def tables(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """What each symbol gives as a query (its projection, 1, itself) and as a key (its projection,
+        0 or for a blank a score that hides it, its value, 1); whether scores may be too large to be
+        taken to exponentials as they are."""
+        p, d = self.p, self.width
+        found = p["e"] @ np.concatenate((p["q"] * np.float32(d**-0.5), p["k"], p["v"]), 1)
+        one, hides = np.ones((SYMBOLS, 1), np.float32), np.zeros((SYMBOLS, 1), np.float32)
+        hides[BLANK] = -1e9
+        asked = np.concatenate((found[:, :d], one, p["e"]), 1)
+        given = np.concatenate((found[:, d : 2 * d], hides, found[:, 2 * d :], one), 1)
+        return asked, given, not _longest(found[:, :d]) * _longest(found[:, d : 2 * d]) + np.abs(p["r"]).max() < 60
+
+    def attend(self, keys: np.ndarray, n: int, tables: tuple[np.ndarray, np.ndarray, bool]) -> tuple:
+        """What the ``n`` last positions of each row of symbols hold after attention, with a 1, as rows;
+        and what the gradient needs."""
+        length, d = keys.shape[1], self.width
+        asked, given, large = tables
         back = np.arange(length - n, length)[:, None] - np.arange(length)[None, :]
         seen = back >= 0
-        bias = np.where(seen, p["r"][np.where(seen, back, 0)], np.float32(-1e9))
-        table = p["e"] @ np.concatenate((p["q"] * np.float32(d**-0.5), p["k"], p["v"]), 1)
-        read = table[keys]
-        q, k, v = read[:, length - n :, :d], read[:, :, d : 2 * d], read[:, :, 2 * d :]
-        score = np.matmul(q, k.transpose(0, 2, 1))
-        score += bias
-        score += np.where(keys == BLANK, np.float32(-1e9), np.float32(0))[:, None, :]
-        score -= score.max(2, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(2, keepdims=True)
-        own = p["e"][keys[:, length - n :]]
-        hidden = np.matmul(score, v) + own
-        logits = np.matmul(hidden.reshape(-1, d), p["u"], out=None if room is None else room[: len(keys) * n])
-        logits += p["c"]
-        return logits, (q, k, v, score, own, hidden, back, seen)
-
-    def room(self, rows: int) -> np.ndarray:
-        return np.empty((rows, len(self.p["c"])), np.float32)
+        own, read = asked.take(keys[:, length - n :], 0), given.take(keys, 0)
+        k, v = read[:, :, : d + 1], read[:, :, d + 1 :]
+        a = np.matmul(own[:, :, : d + 1], k.transpose(0, 2, 1))
+        a += np.where(seen, self.p["r"][np.where(seen, back, 0)], np.float32(-1e9))
+        if large:
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        met = np.matmul(a, v)
+        total = met[:, :, d:].copy()
+        met /= total  # the last column is 1 now
+        hidden = met.reshape(-1, d + 1).copy()
+        hidden[:, :d] += own[:, :, d + 1 :].reshape(-1, d)
+        return hidden, (own, k, v, a, met, total, back, seen)
+
+    def head(self) -> np.ndarray:
+        return np.concatenate((self.p["u"], self.p["c"][None, :]))
+
+    def forward(self, keys: np.ndarray, n: int) -> tuple:
+        """Logits of the ``n`` last positions of each row of symbols, and what the gradient needs."""
+        hidden, kept = self.attend(keys, n, self.tables())
+        return hidden @ self.head(), kept
+
+    def room(self) -> np.ndarray:
+        """Memory for the logits of some positions, few enough to stay near the processor."""
+        classes = len(self.p["c"])
+        return np.empty((max(1, BLOCK // classes), classes), np.float32)
+
+    def blocks(self, hidden: np.ndarray, room: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, float]]:
+        """(first, last, logits, how far from 0 they may be) of the rows of ``hidden``, block by block."""
+        head = self.head()
+        reach = _longest(hidden) * _longest(head.T)
+        for at in range(0, len(hidden), len(room)):
+            part = hidden[at : at + len(room)]
+            yield at, at + len(part), np.matmul(part, head, out=room[: len(part)]), reach
 
     def log10(self, keys: np.ndarray, n: int, classes: np.ndarray, block: int = 1 << 11) -> np.ndarray:
         """Log10 probability of each last position's class, batch by batch."""
-        out = np.empty(classes.shape, np.float64)
-        step = max(1, block // n)
-        room = self.room(step * n)
+        out = np.empty(classes.size, np.float64)
+        step, room, tables, flat = max(1, block // n), self.room(), self.tables(), classes.ravel()
         for at in range(0, len(keys), step):
-            logits, _ = self.forward(keys[at : at + step], n, room)
-            chosen = logits[np.arange(len(logits)), classes[at : at + step].ravel()]
-            sums, off = _exponentials(logits)
-            out[at : at + step] = ((chosen - off - np.log(sums)) / np.float32(np.log(10))).reshape(-1, n)
-        return out
+            hidden, _ = self.attend(keys[at : at + step], n, tables)
+            for first, last, logits, reach in self.blocks(hidden, room):
+                part = slice(at * n + first, at * n + last)
+                chosen = logits[np.arange(len(logits)), flat[part]]
+                sums, off = _exponentials(logits, reach)
+                out[part] = (chosen - off - np.log(sums)) / np.float32(np.log(10))
+        return out.reshape(classes.shape)
 
     def log10_at(self, keys: np.ndarray, row: np.ndarray, classes: np.ndarray, block: int = 1 << 10) -> np.ndarray:
         """Log10 probability of each class after the symbols ``keys[row]``; ``row`` ascends, and
         what rows share is worked out once."""
-        out, room = np.empty(len(row), np.float64), self.room(block)
+        out, room, tables = np.empty(len(row), np.float64), self.room(), self.tables()
         for at in range(0, len(keys), block):
-            first, last = np.searchsorted(row, (at, at + block))
-            logits, _ = self.forward(keys[at : at + block], 1, room)
-            own = row[first:last] - at
-            chosen = logits[own, classes[first:last]]
-            sums, off = _exponentials(logits)
-            out[first:last] = (chosen - (off + np.log(sums))[own]) / np.float32(np.log(10))
+            hidden, _ = self.attend(keys[at : at + block], 1, tables)
+            for first, last, logits, reach in self.blocks(hidden, room):
+                begin, end = np.searchsorted(row, (at + first, at + last))
+                own = row[begin:end] - (at + first)
+                chosen = logits[own, classes[begin:end]]
+                sums, off = _exponentials(logits, reach)
+                out[begin:end] = (chosen - (off + np.log(sums))[own]) / np.float32(np.log(10))
         return out
 
     def gradients(self, x: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray | None = None, room: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of the classes ``y`` (flat) at the last positions of ``x``; -1 does not count.
 
-        With ``weight`` (one for each of ``y``) it is the weighted mean.
+        With ``weight`` (one for each of ``y``) it is the weighted mean. What positions give to the
+        projections is added up by symbol first: a projection is the same wherever a symbol stands.
         """
-        p, length, width = self.p, x.shape[1], self.width
-        scale = np.float32(width**-0.5)
-        d, (q, k, v, a, own, hidden, back, seen) = self.forward(x, n, room)
+        p, length, d = self.p, x.shape[1], self.width
+        scale = np.float32(d**-0.5)
+        hidden, (own, k, v, a, met, total, back, seen) = self.attend(x, n, self.tables())
         counts = y >= 0
-        share = counts / np.float32(max(1, counts.sum())) if weight is None else weight * counts / weight.sum()
-        sums, _ = _exponentials(d)
-        d *= (share / sums).astype(np.float32)[:, None]
-        d[np.arange(len(y)), np.maximum(y, 0)] -= share
-        g = {"u": hidden.reshape(-1, width).T @ d, "c": np.ones(len(d), np.float32) @ d}
-        dh = (d @ p["u"].T).reshape(hidden.shape)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - np.einsum("bij,bij->bi", a, da)[:, :, None])
+        share = (counts / np.float32(max(1, counts.sum())) if weight is None else weight * counts / weight.sum()).astype(np.float32)
+        out, dh = np.zeros((len(p["c"]), d + 1), np.float32), np.empty((len(y), d), np.float32)
+        chosen, row = np.maximum(y, 0), np.arange(len(y))
+        for first, last, logits, reach in self.blocks(hidden, self.room() if room is None else room):
+            sums, _ = _exponentials(logits, reach)
+            logits[row[: last - first], chosen[first:last]] -= sums
+            each = (share[first:last] / sums)[:, None]
+            out += logits.T @ (hidden[first:last] * each)
+            np.multiply(logits @ p["u"].T, each, out=dh[first:last])
+        g = {"u": out[:, :d].T, "c": out[:, d]}
+        dh = dh.reshape(len(x), n, d)
+        passed = np.empty((len(x), n, d + 1), np.float32)
+        np.divide(dh, total, out=passed[:, :, :d])
+        passed[:, :, d] = -np.einsum("bij,bij->bi", passed[:, :, :d], met[:, :, :d])
+        ds = np.matmul(passed, v.transpose(0, 2, 1))
+        ds *= a
         g["r"] = np.bincount(back[seen], weights=ds.sum(0)[seen], minlength=len(p["r"])).astype(np.float32)
-        dv, dq, dk = np.matmul(a.transpose(0, 2, 1), dh), np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        every = p["e"][x]
-        flat = every.reshape(-1, width)
-        g["q"] = own.reshape(-1, width).T @ dq.reshape(-1, width) * scale
-        g["k"], g["v"] = flat.T @ dk.reshape(-1, width), flat.T @ dv.reshape(-1, width)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, length - n :] += dh + dq @ p["q"].T * scale
-        at = x.reshape(-1, 1) * width + np.arange(width)
-        g["e"] = np.bincount(at.ravel(), weights=de.ravel(), minlength=SYMBOLS * width).reshape(SYMBOLS, width).astype(np.float32)
+        if n == 1:  # plain products, and none for blanks, which are not seen
+            at = np.flatnonzero(x.ravel() != BLANK)
+            once = np.concatenate((own[:, 0, :d], passed[:, 0, :d]), 1).take(at // length, 0)
+            once[:, :d] *= ds.ravel()[at, None]
+            once[:, d:] *= a.ravel()[at, None]
+            given = _sums(x.ravel()[at], once)
+        else:
+            moved = np.empty((len(x), length, 2 * d), np.float32)
+            np.matmul(ds.transpose(0, 2, 1), own[:, :, :d], out=moved[:, :, :d])
+            np.matmul(a.transpose(0, 2, 1), passed[:, :, :d], out=moved[:, :, d:])
+            given = _sums(x.ravel(), moved.reshape(-1, 2 * d))
+        moved = np.empty((len(x), n, 2 * d), np.float32)
+        np.matmul(ds, k[:, :, :d], out=moved[:, :, :d])
+        moved[:, :, d:] = dh
+        asked = _sums(x[:, length - n :].ravel(), moved.reshape(-1, 2 * d))
+        asked[:, :d] *= scale
+        g["q"], g["k"], g["v"] = p["e"].T @ asked[:, :d], p["e"].T @ given[:, :d], p["e"].T @ given[:, d:]
+        g["e"] = asked[:, d:] + asked[:, :d] @ p["q"].T + given[:, :d] @ p["k"].T + given[:, d:] @ p["v"].T
         return g
 
     def flat(self) -> np.ndarray:
@@ -327,7 +494,7 @@ class Learner:
             net.p[k] = self.whole[at : at + net.p[k].size].reshape(net.p[k].shape)
             at += net.p[k].size
         self.first, self.second = np.zeros_like(self.whole), np.zeros_like(self.whole)
-        self.room = net.room(batch * n)
+        self.room = net.room()
 
     def through(self, keys: np.ndarray, classes: np.ndarray, weight: np.ndarray | None = None) -> None:
         """One step for each batch of the rows, in their order."""
@@ -349,7 +516,7 @@ class Model:
 
     The later subwords of every word together follow a mixture: with ``1 - new`` the counts of
     the known words that begin alike, with ``new`` attention over the word so far, scored once
-    for each distinct word of a chunk. ``new`` is, for each first subword, the share of training tokens that are words seen once:
+    for each distinct word of the corpus. ``new`` is, for each first subword, the share of training tokens that are words seen once:
     how often a word that begins so is likely to be new.
     """
 
@@ -360,8 +527,9 @@ class Model:
     begun: np.ndarray
     new: np.ndarray
 
-    def windows(self, leads: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols by window, events by window, place of each token) of texts of first subwords.
+    def windows(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols by window, whether the window before is of the same text, place of each token) of
+        texts of first subwords, given as the symbols that stand for them.
 
         A text starts a window, so that its score does not depend on its neighbours; windows
         follow one another by ``SCORED`` positions and see as many before those.
@@ -369,19 +537,23 @@ class Model:
         size = np.diff(starts)
         count = -(-size // SCORED)
         first = np.concatenate(([0], np.cumsum(count)))
-        place = np.repeat(first[:-1] * SCORED - starts[:-1], size) + np.arange(starts[-1])
-        events = np.full(first[-1] * SCORED, -1, np.int32)
-        events[place] = leads
-        read = np.full(first[-1] * SCORED, BLANK, np.int32)
-        inner = np.ones(len(place), bool)
-        inner[starts[1:] - 1] = False
-        read[place[inner] + 1] = self.lead.symbol[leads[inner]]
-        read[first[:-1] * SCORED] = START
-        read = read.reshape(-1, SCORED)
-        before = np.full_like(read, BLANK)
-        before[1:] = read[:-1]
-        before[first[:-1]] = BLANK
-        return np.concatenate((before, read), 1), events.reshape(-1, SCORED), place
+        place = np.repeat(first[:-1] * SCORED - starts[:-1], size)
+        place += np.arange(starts[-1])
+        before = np.empty_like(symbols)
+        before[1:] = symbols[:-1]
+        before[starts[:-1]] = START
+        read = np.full(first[-1] * SCORED, BLANK, symbols.dtype)
+        read[place] = before
+        follows = np.ones(first[-1], bool)
+        follows[first[:-1]] = False
+        return read.reshape(-1, SCORED), follows, place
+
+    @staticmethod
+    def seen(read: np.ndarray, follows: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """All symbols that these windows see: of the window before, if it is of the text, and their own."""
+        before = read[windows - 1]
+        before[~follows[windows]] = BLANK
+        return np.concatenate((before, read[windows]), 1)
 
     def word_windows(self, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, events, word) of every later subword, the word's end included."""
@@ -401,24 +573,26 @@ class Model:
         share = np.where(begun > 0, new, 1.0)
         return np.log10(share * 10.0**np.maximum(spelled, -300) + (1 - share) * count / np.maximum(begun, 1))
 
-    def token_scores(self, row: dict, count: np.ndarray) -> np.ndarray:
-        """Log10 probability of every token of a chunk, whose words have these training counts."""
-        pieces, ends = _pieces(row)
-        stream, starts = _stream(row), np.frombuffer(row["starts"], np.int64)
-        lead = leads_of(pieces, ends)
-        begun, new = self.begun[lead], self.new[lead]
+    def word_scores(self, page: dict) -> np.ndarray:
+        """Log10 probability of every word of a page given its first subword; nothing follows an end."""
+        pieces, ends = _pieces(page)
+        lead, count = leads_of(pieces, ends), np.frombuffer(page["totals"], np.int64)
         keys, events, word = self.word_windows(pieces, ends)
-        _, one, alike = np.unique(_names(keys), return_index=True, return_inverse=True)
-        order = np.argsort(alike, kind="stable")
+        order, first = _alike(_names(keys))
+        row, classes = np.repeat(np.arange(len(first)), np.diff(first, append=len(order))), self.later.place[events]
         each = self.later.within[events]
-        each[order] += self.inside.log10_at(keys[one], alike[order], self.later.place[events][order])
+        each[order] += self.inside.log10_at(keys[order[first]], row, classes[order])
         spelled = np.bincount(word, weights=each, minlength=len(ends))
-        by_word = self.mix(spelled, count, begun, new)
-        by_word[0] = 0.0
-        keys, events, place = self.windows(lead[stream], starts)
-        events = np.where(events < 0, STOP, events)
-        scored = self.across.log10(keys, SCORED, self.lead.place[events]) + self.lead.within[events]
-        return scored.ravel()[place] + by_word[stream]
+        return np.where(lead == STOP, 0.0, self.mix(spelled, count, self.begun[lead], self.new[lead]))
+
+    def token_scores(self, row: dict, by_word: np.ndarray) -> np.ndarray:
+        """Log10 probability of every token of a chunk, whose words score so after their first subwords."""
+        lead, stream = np.frombuffer(row["leads"], np.uint16), _stream(row)
+        read, follows, place = self.windows(self.lead.symbol[lead][stream], np.frombuffer(row["starts"], np.int64))
+        classes = np.zeros(read.size, np.int32)
+        classes[place] = self.lead.place[lead][stream]
+        scored = self.across.log10(self.seen(read, follows, np.arange(len(read))), SCORED, classes.reshape(read.shape))
+        return scored.ravel()[place] + (by_word + self.lead.within[lead])[stream]
 
 
 def leads_of(pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -427,31 +601,39 @@ def leads_of(pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(pieces):
         return np.full(len(ends), STOP, np.int32)
     lead = pieces[np.minimum(first, len(pieces) - 1)].astype(np.int32)
-    lead[0] = STOP
+    lead[ends == first] = STOP
     return lead
 
 
 def _lessons(model: Model, row: dict, turn: int, rounds: int, seed: int) -> list[tuple[np.ndarray, ...]]:
-    """(symbols, classes) of both layers that a chunk gives in one round, for later subwords with weights.
+    """(symbols, classes) of both layers that a row gives in one round, for later subwords with weights.
 
     A chunk's training windows are put in a seeded order and dealt out to the rounds; each is
-    learnt from once. So is every later subword of its training words: what the model reads and
+    learnt from once. So is every later subword of the training words of a page (or of a chunk that
+    holds its words' counts): what the model reads and
     predicts alike is one row, with the counts of all its words as weight. A row above the mean weight is
     dealt out as several that share it, so that no step is left to one frequent word; none is left
     out.
     """
-    pieces, ends = _pieces(row)
-    stream, starts = _stream(row), np.frombuffer(row["starts"], np.int64)
     draw = np.random.default_rng((seed, row["chunk"]))
-    keys, events, _ = model.windows(leads_of(pieces, ends)[stream], starts)
-    known = np.flatnonzero(np.repeat(np.frombuffer(row["held"], np.uint8) == 0, -(-np.diff(starts) // SCORED)))
-    known = draw.permutation(known)[: int(np.ceil(LEARNT * len(known)))][turn::rounds]
-    out = [(keys[known], np.where(events < 0, -1, model.lead.place[np.maximum(events, 0)])[known])]
-    keys, events, word = model.word_windows(pieces, ends)
-    n = np.frombuffer(row["counts"], np.int32)[word].astype(np.float64)
-    some, classes = np.flatnonzero(n), model.later.place[events]
-    _, one, alike = np.unique((_names(keys) + classes.astype(np.uint64) * MIXERS[-1])[some], return_index=True, return_inverse=True)
-    n, one = np.bincount(alike, weights=n[some], minlength=len(one)), some[one]
+    out: list[tuple[np.ndarray, ...]] = [(np.empty((0, CONTEXT), np.int32), np.empty((0, SCORED), np.int32))]
+    if "starts" in row:
+        lead, stream, starts = np.frombuffer(row["leads"], np.uint16), _stream(row), np.frombuffer(row["starts"], np.int64)
+        read, follows, place = model.windows(model.lead.symbol[lead][stream], starts)
+        classes = np.full(read.size, -1, np.int32)
+        classes[place] = model.lead.place[lead][stream]
+        known = np.flatnonzero(np.repeat(np.frombuffer(row["held"], np.uint8) == 0, -(-np.diff(starts) // SCORED)))
+        known = draw.permutation(known)[: int(np.ceil(LEARNT * len(known)))][turn::rounds]
+        out = [(model.seen(read, follows, known), classes.reshape(read.shape)[known])]
+    if "pieces" not in row:
+        return out
+    keys, events, word = model.word_windows(*_pieces(row))
+    counts = np.frombuffer(row["totals"], np.int64) if "totals" in row else np.frombuffer(row["counts"], np.int32)
+    n, classes = counts[word], model.later.place[events]
+    some = np.flatnonzero(n)
+    order, first = _alike((_names(keys) + classes.astype(np.uint64) * MIXERS[-1])[some])
+    order = some[order]
+    n, one = np.add.reduceat(n[order].astype(np.float64), first) if len(first) else np.empty(0), order[first]
     copies = np.ceil(n * (len(n) / max(1.0, n.sum()))).astype(np.int64)
     dealt = draw.permutation(np.repeat(np.arange(len(n)), copies))[turn::rounds]
     weight = (n[dealt] / copies[dealt]).astype(np.float32)
@@ -472,7 +654,8 @@ def _learn(model: Model, turn: int, rounds: int, seed: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 for k, lesson in enumerate(_lessons(model, batch.slice(i, 1).to_pylist()[0], turn, rounds, seed)):
-                    learners[k].through(*lesson)
+                    for _ in range(PASSES[k]):
+                        learners[k].through(*lesson)
                     seen[k] += len(lesson[0])
                     if learners[k].turn < STEPS:
                         again[k].append(lesson)
@@ -502,28 +685,25 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n]), pa.array([flat], pa.list_(pa.float64()))], ["layer", "seen", "flat"])
 
 
-def train(cut: DataFrame, begun: np.ndarray, new: np.ndarray, seed: int = 5, rounds: int = ROUNDS) -> Model:
-    """Counts of subwords, and attention weights, from the training documents of all chunks.
+def train(cut: DataFrame, pages: DataFrame, counts: np.ndarray, seed: int = 5, rounds: int = ROUNDS) -> Model:
+    """Attention weights from the training documents of all chunks and the words of all pages.
 
-    The counts (at most two per vocabulary id) are added up over the whole corpus. In each round
-    every task starts from the same weights and takes seeded steps over its own chunks; the
-    weights, of a fixed size, are averaged in groups of tasks and then over ``GROUPS`` groups.
+    In each round every task starts from the same weights and takes seeded steps over its own
+    chunks or pages; the weights, of a fixed size, are averaged in groups of tasks and then over
+    ``GROUPS`` groups.
     """
-    rows = cut.select("counts", "pieces", "sizes").mapInArrow(_piece_counts, "kind int, id int, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, IDS + 1), np.int64)
-    for r in rows:
-        counts[r.kind, r.id] = r.n
+    begun, once = counts[0], counts[2]
     model = Model(
-        Events.of(counts[0], LEAD_SHAPE[0]), Events.of(counts[1], LATER_SHAPE[0]),
-        Attention(CONTEXT, LEAD_SHAPE, seed), Attention(IN_WORD, LATER_SHAPE, seed + 1), begun, new,
+        Events.of(counts[0], LEAD_SHAPE[0]), Events.of(counts[1], LATER_SHAPE[0]), Attention(CONTEXT, LEAD_SHAPE, seed),
+        Attention(IN_WORD, LATER_SHAPE, seed + 1), begun, np.minimum(0.9, (once + 1) / (begun + 2)),
     )
     for net, events, known in ((model.across, model.lead, counts[0]), (model.inside, model.later, counts[1])):
         share = np.bincount(events.place, weights=known, minlength=len(net.p["c"])) + 1.0
         net.p["c"][:] = np.log(share / share.sum())
-    slim = cut.select("chunk", "held", "starts", "low", "high", "counts", "pieces", "sizes")
+    made_of = [cut.select("chunk", "held", "starts", "low", "high", "leads"), pages.select("chunk", "totals", "pieces", "sizes")]
     for turn in range(rounds):
-        made = slim.mapInArrow(_learn(model, turn, rounds, seed), "layer int, task int, seen double, flat array<double>")
-        dealt = made.repartition(GROUPS, F.pmod("task", F.lit(GROUPS))).sortWithinPartitions("task", "layer")
+        parts = [x.mapInArrow(_learn(model, turn, rounds, seed), "layer int, task int, seen double, flat array<double>") for x in made_of]
+        dealt = parts[0].unionAll(parts[1]).repartition(GROUPS, F.pmod("task", F.lit(GROUPS))).sortWithinPartitions("task", "layer")
         found = dealt.mapInArrow(_added, "layer int, seen double, flat array<double>").toArrow().sort_by([("layer", "ascending"), ("seen", "ascending")])
         for k, net in enumerate((model.across, model.inside)):
             own = found.filter(pa.compute.equal(found["layer"], k))
@@ -542,8 +722,9 @@ def language_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     The base is an add-one unigram model over words and the end of a text, with counts from all
-    training documents: words are counted by chunk, added up by word, and sent back to the
-    chunks that hold them, so neither a vocabulary nor a document is collected or broadcast.
+    training documents: words are counted by chunk, added up by word, and sent back with their
+    spellings' scores to the chunks that hold them, so neither a vocabulary nor a document is
+    collected or broadcast.
     The model's score is the log10 probability of the text as subword ids: each first subword
     of a word given the first subwords of up to 31 words before it, each later one, and the
     word's end, given its word so far and, for known words, the words' counts; then the end of
@@ -552,15 +733,23 @@ def language_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("held"))
     cut = staged(chunks(source, folder, chunk_bytes), "chunks", "zstd")
-    pairs = cut.select("chunk", "names", "counts", "pieces", "sizes").mapInArrow(_word_counts, "chunk long, number int, name long, n long, lead int")
-    counts = staged(pairs.groupBy("name").agg(F.sum("n").alias("c"), F.min("lead").alias("lead")), "counts")
-    total, kinds = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    total = total or 0
-    begun, once = np.zeros(IDS + 1, np.int64), np.zeros(IDS + 1, np.int64)
-    for r in counts.groupBy("lead").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
-        begun[r.lead], once[r.lead] = r.c, r.once
-    model = train(cut, begun, np.minimum(0.9, (once + 1) / (begun + 2)))
-    back = pairs.select("name", "chunk", "number").join(counts.select("name", "c"), "name").groupBy("chunk").agg(F.collect_list(F.struct("number", "c")).alias("known"))
+    pairs = cut.select("names", "counts", "pieces", "sizes").mapInArrow(_word_counts, "name long, n long, pieces binary")
+    words = pairs.groupBy("name", "pieces").agg(F.sum("n").alias("c")).sortWithinPartitions("name")
+    pages = staged(vocabulary(words), "pages", "zstd")
+    counts = piece_counts(pages)
+    total, kinds = int(counts[0].sum()), int(counts[3].sum())
+    model = train(cut, pages, counts)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page = batch.slice(i, 1).to_pylist()[0]
+                columns = [np.frombuffer(page["names"], np.int64), np.frombuffer(page["totals"], np.int64), model.word_scores(page).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["name", "c", "spelled"])
+
+    places = cut.select("chunk", "names").mapInArrow(_word_places, "chunk long, number int, name long")
+    spelled = pages.mapInArrow(spell, "name long, c long, spelled float")
+    back = places.join(spelled, "name").groupBy("chunk").agg(F.collect_list(F.struct("number", "c", "spelled")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -570,8 +759,9 @@ def language_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 row = rows.slice(i, 1).to_pylist()[0]
                 found = known_column[i].values
                 stream, starts = _stream(row), np.frombuffer(row["starts"], np.int64)
-                c = np.zeros(len(found), np.int64)
-                c[found.field("number").to_numpy()] = found.field("c").to_numpy()
+                c, by_word = np.zeros(len(found), np.int64), np.zeros(len(found))
+                number = found.field("number").to_numpy()
+                c[number], by_word[number] = found.field("c").to_numpy(), found.field("spelled").to_numpy()
                 base = np.log10((c + 1.0) / (total + kinds + 1.0))
                 first = starts[:-1]
                 columns = [
@@ -581,9 +771,9 @@ def language_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     pa.array(np.add.reduceat((c > 0)[stream].astype(np.int64), first)),
                     pa.array(np.full(len(first), total, np.int64)),
                     pa.array(np.add.reduceat(base[stream], first)),
-                    pa.array(np.add.reduceat(model.token_scores(row, c), first)),
+                    pa.array(np.add.reduceat(model.token_scores(row, by_word), first)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
-    slim = cut.select("chunk", "doc_ids", "held", "starts", "low", "high", "pieces", "sizes")
-    return slim.join(back, "chunk").select("chunk", "doc_ids", "held", "starts", "low", "high", "pieces", "sizes", "known").mapInArrow(run, SCORES)
+    slim = cut.select("chunk", "doc_ids", "held", "starts", "low", "high", "leads")
+    return slim.join(back, "chunk").select(*slim.columns, "known").mapInArrow(run, SCORES)

@@ -202,3 +202,26 @@ def test_empty_table_and_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = attention_lm.language_scores(documents(spark, [(held, "a b")])).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_words_spelled_together_are_spelled_as_each_alone():
+    speller, draw = attention_lm.Speller(attention_lm.TOKENIZERS), random.Random(6)
+    for letters in ("ab1's.é中", "ab\x85 　\x1c'中"):  # with other blanks inside words too
+        for _ in range(60):
+            words = ["".join(draw.choices(letters, k=draw.randint(1, 6))) for _ in range(draw.randint(0, 30))]
+            pieces, sizes = speller.spell(words)
+            alone = [speller.encode(" " + word) for word in words]
+            assert pieces.tolist() == [x for ids in alone for x in ids] and sizes.tolist() == [len(ids) for ids in alone]
+
+
+def test_a_word_of_many_chunks_is_learnt_and_scored_once(spark, monkeypatch):
+    """The pages hold each distinct word of the corpus once, with its training count."""
+    kept, train = [], attention_lm.train
+    monkeypatch.setattr(attention_lm, "train", lambda cut, pages, *a, **b: kept.append((cut.count(), pages.collect())) or train(cut, pages, *a, **b))
+    texts = {i: prose(i, 60) for i in range(40)}
+    attention_lm.language_scores(documents(spark, list(texts.items())), chunk_bytes=700).collect()
+    chunks, pages = kept[0]
+    totals = np.concatenate([np.frombuffer(p["totals"], np.int64) for p in pages])
+    want = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.encode().translate(LOWER).split(), b" "])
+    words = {w for t in texts.values() for w in t.encode().translate(LOWER).split()} | {b" "}
+    assert chunks > 5 and sorted(totals.tolist()) == sorted(want[w] for w in words)
